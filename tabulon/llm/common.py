@@ -58,3 +58,18 @@ def unused(df: DataFrame, stem: str, *others: DataFrame) -> str:
         n += 1
         name = f"_{stem}{n}"
     return name
+
+
+def joinable(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df``, made durable, with a broadcast hint if it has at most ``rows`` rows; beyond
+    that it is left to a shuffled join, whose hot partitions adaptive execution splits."""
+    kept = durable(df)
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
+BLANK = r"[\x20\x09-\x0D]+"
+
+
+def words(text: Column) -> Column:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; none for null."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK), "")

@@ -27,10 +27,32 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents"), narrow=True)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_verdicts
+
+    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import labelled_pages, url_verdicts
+
+    pages = table(spark, sf_dir, "pages")
+    found = url_verdicts(pages, labelled_pages(pages, table(spark, sf_dir, "labels")))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import mix_sql, quality_sql, urls_sql
+
+    return {"op4_mix": mix_sql(), "op9_quality": quality_sql(), "op10_urls": urls_sql()}
