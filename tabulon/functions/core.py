@@ -32,13 +32,15 @@ class Cell:
 
     def shown(self) -> Column:
         """Text of the value, or the error's code."""
-        text = as_text(self.value)
+        text = let(self.value, as_text)
         return text if self.error is None else F.coalesce(self.error, text)
 
     def struct(self) -> Column:
         return F.struct(self.value.alias("value"), (F.lit(None).cast("string") if self.error is None else self.error).alias("error"))
 
 
+#: Not empty while the body of a function with bound arguments runs: its value is bound too.
+_LARGE: list[str] = []
 FUNCTIONS: dict[str, Callable[..., Cell]] = {}
 
 
@@ -69,6 +71,9 @@ def guarded(value: Column, error: Column | None) -> Cell:
 
 def finite(value: Column, *rules: tuple[Column, str]) -> Cell:
     """A number that is an error by ``rules``, or #NUM! where it isn't finite or doesn't exist."""
+    if _LARGE:
+        both = let(value, lambda v: F.struct(v.alias("v"), bad(*rules, (v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), "#NUM!")).alias("e")))
+        return Cell(F.when(both["e"].isNull(), both["v"]), both["e"])
     wrong = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
     return guarded(value, bad(*rules, (wrong, "#NUM!")))
 
@@ -131,12 +136,14 @@ def day(x) -> Cell:
 COERCE = {"n": number, "p": plain, "t": text, "l": logical, "d": day, "v": cell}
 
 
-def function(name: str, kinds: str = "", *aliases: str):
+def function(name: str, kinds: str = "", *aliases: str, bound: bool = False):
     """Registers a worksheet function.
 
     ``kinds`` lists its arguments: n number, p number without checks, t text, l logical, d date,
     v any value; ``n=0`` gives a default, ``n=`` an optional argument that may be None, ``*n``
     takes the rest as a list. The body gets plain columns and returns a Column or a Cell.
+    ``bound``: the arguments are evaluated once and the body mentions them as variables, which
+    keeps expressions small where a body uses its arguments many times.
     """
     spec = kinds.split()
 
@@ -166,7 +173,7 @@ def function(name: str, kinds: str = "", *aliases: str):
                 errors.append(c.error)
             if rest:
                 raise TypeError(f"{name} takes {len(spec)} arguments")
-            out = body(*values)
+            out = _bound(body, values) if bound else body(*values)
             out = out if isinstance(out, Cell) else Cell(out)
             error = merged(*errors, out.error)
             return out if error is out.error else guarded(out.value, error)
@@ -180,6 +187,22 @@ def function(name: str, kinds: str = "", *aliases: str):
     return decorate
 
 
+def _bound(body, values: list[Column | None]) -> Cell:
+    held = F.struct(*[v.alias(f"a{i}") for i, v in enumerate(values) if v is not None])
+
+    def inside(x: Column) -> Column:
+        _LARGE.append("")
+        try:
+            out = body(*[None if v is None else x[f"a{i}"] for i, v in enumerate(values)])
+        finally:
+            _LARGE.pop()
+        out = out if isinstance(out, Cell) else Cell(out)
+        return out.struct()
+
+    both = let(held, inside)
+    return Cell(both["value"], both["error"])
+
+
 class Functions:
     """``fn.ROUND(x, 2)``, ``fn.NORM_S_DIST(z, True)`` or ``fn["NORM.S.DIST"](z, True)``."""
 

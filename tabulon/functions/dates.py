@@ -150,7 +150,7 @@ def days_360(a: Column, b: Column, european: Column) -> Column:
     return (months * 30 + F.when(european, e2 - e1).otherwise(u2 - u1)).cast("double")
 
 
-@function("DAYS360", "d d l=false")
+@function("DAYS360", "d d l=false", bound=True)
 def days360(a, b, european):
     """US method: a start on the 31st counts as the 30th; an end on the 31st too if the start is the 30th or later, else it is the next 1st."""
     d1 = F.when(F.dayofmonth(a) == 31, 30).when((a == F.last_day(a)) & (F.month(a) == 2), 30).otherwise(F.dayofmonth(a))
@@ -176,7 +176,7 @@ def year_fraction(x: Column, y: Column, basis: Column) -> Column:
     return F.when(basis == 1, actual / year).when(basis == 2, actual / 360).when(basis == 3, actual / 365).when(basis == 4, days_360(a, b, F.lit(True)) / 360).otherwise(days_360(a, b, F.lit(False)) / 360)
 
 
-@function("YEARFRAC", "d d n=0")
+@function("YEARFRAC", "d d n=0", bound=True)
 def yearfrac(a, b, basis):
     k = truncated(basis)
     return guarded(year_fraction(a, b, k), bad(((k < 0) | (k > 4), "#NUM!")))
@@ -193,7 +193,7 @@ def _first(kind: Column) -> Column:
     return out
 
 
-@function("WEEKDAY", "d n=1")
+@function("WEEKDAY", "d n=1", bound=True)
 def weekday(d, kind):
     """Type 3 counts Monday as 0."""
     k = truncated(kind)
@@ -201,7 +201,7 @@ def weekday(d, kind):
     return guarded(out, bad((out.isNull() & d.isNotNull(), "#NUM!")))
 
 
-@function("WEEKNUM", "d n=1")
+@function("WEEKNUM", "d n=1", bound=True)
 def weeknum(d, kind):
     k = truncated(kind)
     january = F.trunc(d, "year")
