@@ -188,12 +188,13 @@ def function(name: str, kinds: str = "", *aliases: str, bound: bool = False):
 
 
 def _bound(body, values: list[Column | None]) -> Cell:
-    held = F.struct(*[v.alias(f"a{i}") for i, v in enumerate(values) if v is not None])
+    flat = {f"a{i}_{j}": c for i, v in enumerate(values) if v is not None for j, c in enumerate(v if isinstance(v, list) else [v])}
+    held = F.struct(*[c.alias(k) for k, c in flat.items()])
 
     def inside(x: Column) -> Column:
         _LARGE.append("")
         try:
-            out = body(*[None if v is None else x[f"a{i}"] for i, v in enumerate(values)])
+            out = body(*[None if v is None else [x[f"a{i}_{j}"] for j in range(len(v))] if isinstance(v, list) else x[f"a{i}_0"] for i, v in enumerate(values)])
         finally:
             _LARGE.pop()
         out = out if isinstance(out, Cell) else Cell(out)
