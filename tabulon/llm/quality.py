@@ -84,8 +84,9 @@ def base_failed(c: Column) -> Column:
 
 def log_gamma(x: Column) -> Column:
     """ln Γ(x) for x > 0: Stirling's series at x + 8, brought back by the recurrence."""
+    x = x.cast("double")
     y = x + 8
-    series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7)) + 1 / (1188 * F.pow(y, 9))
     for i in range(8):
         series = series - F.log(x + i)
     return series
