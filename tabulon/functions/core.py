@@ -26,6 +26,10 @@ class Cell:
 
     value: Column
     error: Column | None = None
+    #: "n" for a function's number, which needs no coercion.
+    kind: str = ""
+    #: The struct of both that a nested call evaluates once, if there is one.
+    whole: Column | None = None
 
     def alias(self, name: str) -> Column:
         return self.value.alias(name)
@@ -65,17 +69,17 @@ def merged(*errors: Column | None) -> Column | None:
     return None if not some else some[0] if len(some) == 1 else F.coalesce(*some)
 
 
-def guarded(value: Column, error: Column | None) -> Cell:
-    return Cell(value) if error is None else Cell(F.when(error.isNull(), value), error)
+def guarded(value: Column, error: Column | None, kind: str = "") -> Cell:
+    return Cell(value, kind=kind) if error is None else Cell(F.when(error.isNull(), value), error, kind)
 
 
 def finite(value: Column, *rules: tuple[Column, str]) -> Cell:
     """A number that is an error by ``rules``, or #NUM! where it isn't finite or doesn't exist."""
     if _LARGE:
         both = let(value, lambda v: F.struct(v.alias("v"), bad(*rules, (v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), "#NUM!")).alias("e")))
-        return Cell(F.when(both["e"].isNull(), both["v"]), both["e"])
+        return Cell(F.when(both["e"].isNull(), both["v"]), both["e"], "n")
     wrong = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
-    return guarded(value, bad(*rules, (wrong, "#NUM!")))
+    return guarded(value, bad(*rules, (wrong, "#NUM!")), "n")
 
 
 def as_text(x: Column) -> Column:
@@ -83,7 +87,7 @@ def as_text(x: Column) -> Column:
     s = x.cast("string")
     number = F.typeof(x).isin("double", "float")
     logical = F.typeof(x) == "boolean"
-    return F.when(logical, F.upper(s)).when(number, F.regexp_replace(s, r"\.0$", "")).otherwise(s)
+    return F.when(logical, F.upper(s)).when(number, F.regexp_replace(F.regexp_replace(s, r"\.0$", ""), "^-0$", "0")).otherwise(s)
 
 
 def number(x) -> Cell:
@@ -91,6 +95,8 @@ def number(x) -> Cell:
     if isinstance(x, (int, float)):
         return Cell(F.lit(float(x)))
     c = cell(x)
+    if c.kind == "n":
+        return c
     v = c.value.try_cast("double")
     wrong = F.when(c.value.isNotNull() & v.isNull(), "#VALUE!")
     error = merged(c.error, wrong)
@@ -136,47 +142,26 @@ def day(x) -> Cell:
 COERCE = {"n": number, "p": plain, "t": text, "l": logical, "d": day, "v": cell}
 
 
-def function(name: str, kinds: str = "", *aliases: str, bound: bool = False):
+def function(name: str, kinds: str = "", *aliases: str, bound: bool = False, direct: bool = False):
     """Registers a worksheet function.
 
     ``kinds`` lists its arguments: n number, p number without checks, t text, l logical, d date,
     v any value; ``n=0`` gives a default, ``n=`` an optional argument that may be None, ``*n``
     takes the rest as a list. The body gets plain columns and returns a Column or a Cell.
     ``bound``: the arguments are evaluated once and the body mentions them as variables, which
-    keeps expressions small where a body uses its arguments many times.
+    keeps expressions small where a body uses its arguments many times. So are the arguments of
+    any function if one is a function's result itself, unless it is ``direct``, as those with an
+    Arrow UDF must be. Calls on plain columns stay plain expressions, which Spark compiles.
     """
     spec = kinds.split()
 
     def decorate(body):
         @wraps(body)
         def call(*args):
-            values, errors, rest = [], [], list(args)
-            for k in spec:
-                kind, _, default = k.partition("=")
-                if kind[0] == "*":
-                    cells = [COERCE[kind[1]](a) for a in rest]
-                    rest = []
-                    values.append([c.value for c in cells])
-                    errors += [c.error for c in cells]
-                    continue
-                if rest:
-                    given = rest.pop(0)
-                elif "=" in k:
-                    given = None if default == "" else {"true": True, "false": False}.get(default, default if kind == "t" else float(default) if default not in ("true", "false") else default)
-                else:
-                    raise TypeError(f"{name} needs {sum('=' not in x and x[0] != '*' for x in spec)} arguments")
-                if given is None and "=" in k and default == "":
-                    values.append(None)
-                    continue
-                c = COERCE[kind](given)
-                values.append(c.value)
-                errors.append(c.error)
-            if rest:
-                raise TypeError(f"{name} takes {len(spec)} arguments")
-            out = _bound(body, values) if bound else body(*values)
-            out = out if isinstance(out, Cell) else Cell(out)
-            error = merged(*errors, out.error)
-            return out if error is out.error else guarded(out.value, error)
+            given = _given(name, spec, args)
+            if direct or not (bound or any(isinstance(g, Cell) and g.error is not None for _, gs in given for g in (gs if isinstance(gs, list) else [gs]))):
+                return _applied(body, given)
+            return _bound(body, given)
 
         for n in (name, *aliases):
             if n in FUNCTIONS:
@@ -187,21 +172,64 @@ def function(name: str, kinds: str = "", *aliases: str, bound: bool = False):
     return decorate
 
 
-def _bound(body, values: list[Column | None]) -> Cell:
-    flat = {f"a{i}_{j}": c for i, v in enumerate(values) if v is not None for j, c in enumerate(v if isinstance(v, list) else [v])}
-    held = F.struct(*[c.alias(k) for k, c in flat.items()])
+def _given(name: str, spec: list[str], args: tuple) -> list[tuple[str, object]]:
+    """(kind, argument) of each parameter; a list for those that take the rest, None for an omitted one."""
+    out, rest = [], list(args)
+    for k in spec:
+        kind, _, default = k.partition("=")
+        if kind[0] == "*":
+            out.append((kind[1], rest))
+            rest = []
+        elif rest:
+            out.append((kind, rest.pop(0)))
+        elif "=" not in k:
+            raise TypeError(f"{name} needs {sum('=' not in x and x[0] != '*' for x in spec)} arguments")
+        else:
+            out.append((kind, None if default == "" else default == "true" if kind == "l" else default if kind == "t" else float(default)))
+    if rest:
+        raise TypeError(f"{name} takes {len(spec)} arguments")
+    return out
+
+
+def _applied(body, given) -> Cell:
+    values, errors = [], []
+    for kind, g in given:
+        if g is None:
+            values.append(None)
+            continue
+        cells = [COERCE[kind](a) for a in (g if isinstance(g, list) else [g])]
+        errors += [x.error for x in cells]
+        values.append([x.value for x in cells] if isinstance(g, list) else cells[0].value)
+    out = body(*values)
+    out = out if isinstance(out, Cell) else Cell(out)
+    error = merged(*errors, out.error)
+    return out if error is out.error else guarded(out.value, error, out.kind)
+
+
+def _bound(body, given) -> Cell:
+    """The call over arguments that are held once, each as the struct of its value and error."""
+    held, shape = [], []
+    for kind, g in given:
+        cells = [] if g is None else [cell(a) for a in (g if isinstance(g, list) else [g])]
+        shape.append((kind, None if g is None else [(len(held) + i, x) for i, x in enumerate(cells)], isinstance(g, list)))
+        held += [x.struct() if x.whole is None else x.whole for x in cells]
+    kinds: list[str] = []
 
     def inside(x: Column) -> Column:
+        again = []
+        for kind, cells, many in shape:
+            here = None if cells is None else [Cell(x[f"a{i}"]["value"], None if c.error is None else x[f"a{i}"]["error"], c.kind) for i, c in cells]
+            again.append((kind, here if many or here is None else here[0]))
         _LARGE.append("")
         try:
-            out = body(*[None if v is None else [x[f"a{i}_{j}"] for j in range(len(v))] if isinstance(v, list) else x[f"a{i}_0"] for i, v in enumerate(values)])
+            out = _applied(body, again)
         finally:
             _LARGE.pop()
-        out = out if isinstance(out, Cell) else Cell(out)
+        kinds.append(out.kind)
         return out.struct()
 
-    both = let(held, inside)
-    return Cell(both["value"], both["error"])
+    whole = let(F.struct(*[h.alias(f"a{i}") for i, h in enumerate(held)]), inside) if held else inside(F.struct())
+    return Cell(whole["value"], whole["error"], kinds[0], whole)
 
 
 class Functions:

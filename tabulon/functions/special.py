@@ -7,15 +7,19 @@ series and continued fractions over whole Arrow batches in numpy.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import finite, function, let
+from .core import finite, let
+from .core import function as _function
 from .math import truncated
 
+#: Arrow UDFs can't stand inside a bound call.
+function = partial(_function, direct=True)
 ROOT2, ROOT2PI = math.sqrt(2.0), math.sqrt(2.0 * math.pi)
 
 

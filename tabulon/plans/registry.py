@@ -1,7 +1,75 @@
-"""Registered queries and, for each that SQL can express, the SQL of its rows."""
+"""Registered queries over the driver's tables and, for each that SQL can express, the SQL of its rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabulon.functions.core import Cell
+
+from .lazy import resolve
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-flagship = ""
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers f(t), where t(name) reads a table, under its own name."""
+
+    def decorate(f):
+        key = name or f.__name__
+        QUERIES[key] = lambda spark, sf_dir: f(lambda n: table(spark, sf_dir, n))
+        if sql:
+            ORACLES[key] = sql
+        return f
+
+    return decorate
+
+
+def r(x: Column | Cell, digits: int = 6) -> Column:
+    """Rounded the same way as ``rsql`` does in SQL, so that last-bit differences between engines vanish."""
+    v = (x.value if isinstance(x, Cell) else x).cast("double")
+    return F.floor(v * 10.0**digits + 0.5).cast("double") / 10.0**digits
+
+
+def rsql(x: str, digits: int = 6) -> str:
+    return f"(floor(({x})::double * {10.0**digits} + 0.5)::double / {10.0**digits})"
+
+
+def scalars(name: str, source: str, key: list[str], items: dict) -> None:
+    """A query of one column per function. ``items``: name: (deferred cell, SQL), "v:name" for what isn't a number. Numbers are rounded; texts are shown as they are."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cells = {n: (kind, resolve(x)) for n, (kind, x, _) in parsed.items()}
+        made = [(r(x) if kind == "n" else x.shown() if isinstance(x, Cell) else x).alias(n) for n, (kind, x) in cells.items()]
+        return table(spark, sf_dir, source).select(*key, *made)
+
+    parsed = {}
+    for n, (c, sql) in items.items():
+        kind, _, n = n.rpartition(":")
+        parsed[n] = (kind or "n", c, sql)
+    QUERIES[name] = build
+    made = ", ".join(f"{rsql(sql) if kind == 'n' else f'({sql})'} AS {n}" for n, (kind, _, sql) in parsed.items())
+    ORACLES[name] = f"SELECT {', '.join([*key, made])} FROM {source}"
+
+
+def grouped(name: str, source: str, by: list[str], items: dict, digits: int = 4) -> None:
+    """A query of one aggregate per column, per group."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = table(spark, sf_dir, source).groupBy(*by).agg(*[resolve(x).alias(n) for n, (x, _) in items.items()])
+        return made.select(*by, *[r(F.col(n), digits).alias(n) for n in items])
+
+    QUERIES[name] = build
+    ORACLES[name] = f"SELECT {', '.join(by)}, {', '.join(f'{rsql(s, digits)} AS {n}' for n, (_, s) in items.items())} FROM {source} GROUP BY {', '.join(by)}"
+
+
+flagship = "groupby_flag_status"
+
+from . import catalog, tables  # noqa: E402, F401
