@@ -329,6 +329,12 @@ _coupon("COUPDAYS", lambda *x: bond_terms(*x)["e"])
 _coupon("COUPDAYSNC", lambda *x: bond_terms(*x)["dsc"])
 
 
+def coupons_value(c, g, t, n) -> Column:
+    """Present value of ``n`` coupons ``c``, the first after ``t`` periods of rate ``g``: a geometric sum in closed form."""
+    log = F.log1p(g)
+    return c * F.when(g == 0, n.cast("double")).otherwise(F.exp(-t * log) * -F.expm1(-n * log) * F.try_divide(1 + g, g))
+
+
 def bond_price(s, m, rate, yld, redemption, k, b) -> Column:
     """Clean price per 100: discounted coupons and redemption less accrued interest."""
 
@@ -338,7 +344,7 @@ def bond_price(s, m, rate, yld, redemption, k, b) -> Column:
         t = dsc / e
         y = 1 + yld / k
         single = (redemption + c) / (1 + t * yld / k) - c * a / e
-        coupons = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda acc, i: acc + c / F.pow(y, i - 1 + t))
+        coupons = coupons_value(c, yld / k, t, n)
         return F.when(n == 1, single).otherwise(redemption / F.pow(y, n - 1 + t) + coupons - c * a / e)
 
     return let(bond_terms(s, m, k, b), price)
@@ -363,7 +369,7 @@ def yield_(s, m, rate, target, redemption, frequency, basis):
 
         def value(y):
             f = 1 + y / kk
-            coupons = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda acc, i: acc + c / F.pow(f, i - 1 + t))
+            coupons = coupons_value(c, y / kk, t, n)
             return F.when(n == 1, (redemption + c) / (1 + t * y / kk) - c * a / e).otherwise(redemption / F.pow(f, n - 1 + t) + coupons - c * a / e)
 
         start = F.struct(F.lit(-0.99).alias("lo"), F.lit(10.0).alias("hi"))
@@ -438,7 +444,7 @@ def odd_first_value(s, m, issue, first, rate, yld, redemption, k, b) -> Column:
     dfc, dsc, a = year_fraction(issue, first, b) / unit, year_fraction(s, first, b) / unit, year_fraction(issue, s, b) / unit
     n = coupon_number(first, m, k)
     c, y = 100 * rate / k, 1 + yld / k
-    later = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda acc, i: acc + c / F.pow(y, i + dsc))
+    later = coupons_value(c, yld / k, dsc + 1, n)
     return redemption / F.pow(y, n + dsc) + c * dfc / F.pow(y, dsc) + F.when(n >= 1, later).otherwise(0.0) - c * a
 
 

@@ -91,8 +91,9 @@ def match_approximate(t):
 
 @query("SELECT a.event_id, b.event_id AS last_purchase FROM events a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON a.ts >= b.ts")
 def asof_events(t):
-    buys = t("events").filter("event_type = 'purchase'").select(c("event_id").alias("buy"), F.unix_micros("ts").alias("at"))
-    return lookup.nearest(t("events").select("event_id", F.unix_micros("ts").alias("now")), "now", buys, "at", {"last_purchase": "buy"}, ["at"]).select("event_id", "last_purchase")
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    buys = t("events").filter("event_type = 'purchase'").select(c("event_id").alias("buy"), micros.alias("at"))
+    return lookup.nearest(t("events").select("event_id", micros.alias("now")), "now", buys, "at", {"last_purchase": "buy"}, ["at"]).select("event_id", "last_purchase")
 
 
 @query("SELECT p_partkey, (SELECT min(n_nationkey) FROM nation WHERE n_name ILIKE CASE p_partkey % 3 WHEN 0 THEN 'a%' WHEN 1 THEN '%ia' ELSE 'zz%' END) AS nation FROM part")
@@ -111,7 +112,7 @@ query(f"SELECT o_orderkey FROM orders {ORDER} OFFSET 100", "drop")(lambda t: row
 query(f"SELECT o_orderkey, row_number() OVER ({ORDER}) AS _row FROM orders", "row_numbers")(lambda t: rows.numbered(t("orders"), c("o_totalprice").desc(), "o_orderkey").select("o_orderkey", "_row"))
 query("SELECT c_custkey, row_number() OVER (ORDER BY lower(c_mktsegment) DESC, c_acctbal, c_custkey) AS place FROM customer", "sortby_two_keys")(lambda t: rows.numbered(t("customer"), *rows.sort_keys(c("c_mktsegment"), True), *rows.sort_keys(c("c_acctbal")), "c_custkey", name="place").select("c_custkey", "place"))
 query("SELECT n_name, n_nationkey, n_name AS n_name_2 FROM nation", "choosecols")(lambda t: rows.chosen_columns(t("nation"), 2, 1, -2))
-query("SELECT at AS _at, n_name FROM (SELECT *, row_number() OVER (ORDER BY n_name) AS i FROM nation) JOIN (VALUES (1, 3), (2, 25), (3, 3)) v(at, i) USING (i)", "chooserows")(lambda t: rows.chosen_rows(t("nation"), [3, -1, 3], "n_name").select("_at", "n_name"))
+query("SELECT pos AS _at, n_name FROM (SELECT *, row_number() OVER (ORDER BY n_name) AS i FROM nation) JOIN (VALUES (1, 3), (2, 25), (3, 3)) v(pos, i) USING (i)", "chooserows")(lambda t: rows.chosen_rows(t("nation"), [3, -1, 3], "n_name").select("_at", "n_name"))
 query("SELECT range AS _row, 10.0 + (range - 1) * 3 * 2 AS c1, 12.0 + (range - 1) * 6 AS c2, 14.0 + (range - 1) * 6 AS c3 FROM range(1, 1001)", "sequence")(lambda t: rows.sequence(t("region").sparkSession, 1000, 3, 10, 2).select("_row", *[c(x).cast("decimal(12,1)").cast("double").alias(x) for x in ("c1", "c2", "c3")]))
 query("SELECT r AS _row, (r * 2)::double AS c1, (r * 4)::double AS c2 FROM range(1, 51) t(r)", "makearray")(lambda t: rows.make_array(t("region").sparkSession, 50, 2, lambda i, j: (i * j * 2).cast("double")))
 query("SELECT i AS _row, coalesce(r_name, '#N/A') AS r_name, n_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) LEFT JOIN (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) AS i FROM region) USING (i)", "hstack")(lambda t: rows.hstacked((t("region").select("r_name", "r_regionkey"), ["r_regionkey"]), (t("nation").select("n_name", "n_nationkey"), ["n_nationkey"])).select("_row", "r_name", "n_name"))
