@@ -363,22 +363,24 @@ def yield_(s, m, rate, target, redemption, frequency, basis):
     kk = F.when(k.isin(1.0, 2.0, 4.0), k)
 
     def solve(x):
-        n, e, dsc, a = x["n"], x["e"], x["dsc"], x["a"]
-        c = 100 * rate / kk
-        t = dsc / e
+        # Everything that doesn't depend on the yield is computed once, before the search.
+        known = F.struct(x["n"].alias("n"), kk.alias("k"), (100 * rate / kk).alias("c"), (x["dsc"] / x["e"]).alias("t"), (100 * rate / kk * x["a"] / x["e"] + target).alias("dirty"), redemption.alias("redemption"))
+        return let(known, search)
 
-        def value(y):
-            f = 1 + y / kk
-            coupons = coupons_value(c, y / kk, t, n)
-            return F.when(n == 1, (redemption + c) / (1 + t * y / kk) - c * a / e).otherwise(redemption / F.pow(f, n - 1 + t) + coupons - c * a / e)
+    def search(z):
+        n, c, t, redeemed = z["n"], z["c"], z["t"], z["redemption"]
 
-        start = F.struct(F.lit(-0.99).alias("lo"), F.lit(10.0).alias("hi"))
+        def value(g):
+            many = redeemed * F.exp(-(n - 1 + t) * F.log1p(g)) + coupons_value(c, g, t, n)
+            return F.when(n == 1, (redeemed + c) / (1 + t * g)).otherwise(many)
 
         def step(r, _):
-            mid = (r["lo"] + r["hi"]) / 2
-            over = value(mid) > target
-            return F.struct(F.when(over, mid).otherwise(r["lo"]).alias("lo"), F.when(over, r["hi"]).otherwise(mid).alias("hi"))
+            def halve(mid):
+                return let(value(mid / z["k"]) > z["dirty"], lambda over: F.struct(F.when(over, mid).otherwise(r["lo"]).alias("lo"), F.when(over, r["hi"]).otherwise(mid).alias("hi")))
 
+            return let((r["lo"] + r["hi"]) / 2, halve)
+
+        start = F.struct(F.lit(-0.99).alias("lo"), F.lit(10.0).alias("hi"))
         return F.aggregate(F.sequence(F.lit(1), F.lit(50)), start, step, lambda r: (r["lo"] + r["hi"]) / 2)
 
     return finite(let(bond_terms(s, m, kk, b), solve), _bad_coupon(s, m, k, b), ((rate < 0) | (target <= 0) | (redemption <= 0), "#NUM!"))
