@@ -103,3 +103,14 @@ def inverses(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, "i", "j", "v").groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, i long, j long, v double")
 
 
+
+def by_column(df: DataFrame, function: str) -> DataFrame:
+    """BYCOL: one row with the aggregate of every column."""
+    return df.agg(*[AGGREGATES[function.upper()](F.col(c)).value.alias(c) for c in df.columns])
+
+
+def modes(df: DataFrame, value: str) -> DataFrame:
+    """MODE.MULT: (value, n) of the commonest numbers, if any occurs twice."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    most = counts.agg(F.max("n").alias("_most"))
+    return counts.join(F.broadcast(most), (F.col("n") == F.col("_most")) & (F.col("n") > 1)).select(value, "n")

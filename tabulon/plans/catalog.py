@@ -176,3 +176,17 @@ def inverse_distributions(t):
     p = (c("p_size") - 0.5) / 51
     cells = {"t": fn.T_INV(p, 7), "chisq": fn.CHISQ_INV(p, 5), "f": fn.F_INV(p, 4, 9), "beta": fn.BETA_INV(p, 2, 3), "gamma": fn.GAMMA_INV(p, 2, 3), "norm": fn.NORM_S_INV(p), "cdf": fn.NORM_S_DIST(fn.NORM_S_INV(p), True)}
     return t("part").select("p_partkey", *[r(x).alias(n) for n, x in cells.items()])
+
+
+# ---- windows over event time, also on streams; columns and modes -------------------------------
+@query("SELECT date_trunc('day', ts)::varchar AS day, event_type, count(*)::double AS n, sum(value) AS total FROM events WHERE value >= 10 GROUP BY ALL")
+def daily_events(t):
+    from tabulon.streaming.aggregates import windowed
+
+    events = t("events").select("ts", "event_type", "value")
+    out = windowed(events, "ts", "1 day", "1 hour", ["event_type"], {"n": ("COUNT", "value"), "total": ("SUM", "value")}, {"value": ">=10"})
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("day"), "event_type", c("n").cast("double").alias("n"), "total")
+
+
+query("SELECT max(l_quantity) AS l_quantity, max(l_discount) AS l_discount FROM lineitem", "bycol")(lambda t: grouping.by_column(t("lineitem").select("l_quantity", "l_discount"), "MAX"))
+query("SELECT l_quantity, n FROM (SELECT l_quantity, count(*) AS n FROM lineitem GROUP BY 1) WHERE n > 1 QUALIFY n = max(n) OVER ()", "mode_mult")(lambda t: grouping.modes(t("lineitem"), "l_quantity"))
