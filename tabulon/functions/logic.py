@@ -109,7 +109,7 @@ _test("ISLOGICAL", lambda v, e: e.isNull() & v.isNotNull() & (F.typeof(v) == "bo
 _test("ISNONTEXT", lambda v, e: ~(e.isNull() & v.isNotNull() & (F.typeof(v) == "string")))
 FUNCTIONS["ISREF"] = lambda x: Cell(F.lit(isinstance(x, Column)))
 FUNCTIONS["ISOMITTED"] = lambda x=None: Cell(F.lit(x is None))
-FUNCTIONS["NA"] = lambda: Cell(F.lit(None).cast("double"), F.lit("#N/A"))
+FUNCTIONS["NA"] = lambda: Cell(F.lit(None), F.lit("#N/A"))
 
 
 def type_(x) -> Cell:
