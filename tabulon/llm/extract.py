@@ -156,6 +156,7 @@ def style_tree(pages: DataFrame, gamma: float = 0.9) -> DataFrame:
     Its presentation importance is the entropy of its child sequences, its content importance
     the mean, over the different texts in it, of 1 - ln k / ln m, where a text is on k pages
     (the entropy, base m, of where it appears). A node on a single page has importance 1.
+    Exact copies of a page count once, lest an article that is copied often look like a template.
     gamma is the content's weight. Counts are aggregates with map-side combine over
     (host, path, text), so a host with many pages is no hot group.
     """
@@ -164,12 +165,12 @@ def style_tree(pages: DataFrame, gamma: float = 0.9) -> DataFrame:
         for b in batches:
             rows: list[tuple] = []
             for host, source in zip(b.column("host").to_pylist(), b.column("html")):
-                page = Page(source.as_py())
-                rows += [(host, p, True, s) for p, s in page.styles.items()]
-                rows += [(host, p, False, t) for p, t in {(p, _hash(t)) for p, t, _, _ in page.blocks}]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), (), ()), (pa.string(), pa.int64(), pa.bool_(), pa.int64()))], ["host", "path", "style", "mark"])
+                page, copy = Page(source.as_py()), _hash(source.as_py())
+                rows += [(host, p, True, s, copy) for p, s in page.styles.items()]
+                rows += [(host, p, False, t, copy) for p, t in {(p, _hash(t)) for p, t, _, _ in page.blocks}]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), (), (), ()), (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()))], ["host", "path", "style", "mark", "copy"])
 
-    marks = pages.mapInArrow(run, "host string, path long, style boolean, mark long").groupBy("host", "path", "style", "mark").agg(F.count("*").alias("k"))
+    marks = pages.mapInArrow(run, "host string, path long, style boolean, mark long, copy long").distinct().groupBy("host", "path", "style", "mark").agg(F.count("*").alias("k"))
     k, log = F.col("k"), F.log
     style, words = F.col("style"), ~F.col("style")
     nodes = marks.groupBy("host", "path").agg(

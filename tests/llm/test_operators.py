@@ -195,6 +195,14 @@ def test_style_tree_removes_unmarked_template_blocks(spark):
     assert not any("Same words" in r.text or not r.text for r in extract.main_text(pages).collect())
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    rng = random.Random(6)
+    html = lambda n: f"<body><article><h1>{prose(rng, 5)}</h1>" + "".join(f"<p>{prose(rng, 9)}</p>" for _ in range(n)) + "</article></body>"
+    copied = html(20)
+    pages = spark.createDataFrame([(i, f"http://h.com/{i}", copied if i < 40 else html(2)) for i in range(44)], "page_id long, url string, html string")
+    assert {len(r.text.split("\n\n")) for r in extract.main_text(pages).collect()} == {21, 3}
+
+
 # ---- 6 -----------------------------------------------------------------------------------------
 def test_language_held_out_accuracy(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
