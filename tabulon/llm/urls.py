@@ -60,8 +60,8 @@ def _shrunk(level: DataFrame, parent: DataFrame, own: str, above: str) -> DataFr
     return both.withColumn("mean", F.col("a") / (F.col("a") + F.col("b"))).drop("m", "s")
 
 
-def reputations(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """(host, n, bad, mean, lower) of each host with labelled pages.
+def reputations(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hosts, registered domains and suffixes with labelled pages, each as (host, domain or suffix; n, bad, mean, lower).
 
     ``outcomes`` has host and bad (boolean, not null). Outcomes are counted per host, summed to
     registered domain, suffix and all; from the top down each node's rate is shrunk towards
@@ -76,25 +76,32 @@ def reputations(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     found = _shrunk(hosts.drop("suffix"), registered, "host", "domain")
     a, b = F.col("a"), F.col("b")
     spread = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return found.select("host", "n", "bad", "mean", (F.col("mean") - z * spread).alias("lower"))
+    bounded = lambda level, own: level.select(own, "n", "bad", "mean", (F.col("mean") - z * spread).alias("lower"))
+    return bounded(found, "host"), bounded(registered, "domain"), bounded(suffixes, "suffix")
 
 
 def url_verdicts(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, max_bad: float = 0.5, z: float = 1.645, key: str = "page_id", url: str = "url") -> DataFrame:
-    """One row per row of ``pages``: key, host, path, rule, verdict and the host's bounds.
+    """One row per row of ``pages``: key, host, path, rule, verdict and the bounds that hold for the host.
 
-    ``outcomes`` has url and bad. A rule decides where one fits, else the host's reputation:
-    blocked if even the lower bound of its rate of bad pages exceeds ``max_bad``. Hosts without
-    labelled pages are allowed. Null URLs have empty host and path; outcomes with a null url or
-    bad are ignored; repeated rows are judged alike; empty tables are fine.
+    ``outcomes`` has url and bad. A rule decides where one fits, else reputation: blocked if even
+    the lower bound of the rate of bad pages exceeds ``max_bad``. The reputation is the host's; a
+    host without labelled pages has that of its registered domain, a domain without any that of
+    its suffix, and pages on a suffix without any are allowed. Null URLs have empty host and path;
+    outcomes with a null url or bad are ignored; repeated rows are judged alike; empty tables are fine.
     """
     labelled = outcomes.filter("url is not null and bad is not null").select(host_and_path(F.col("url"))[0].alias("host"), "bad")
-    known = joinable(reputations(labelled, z).select(F.col("host").alias("known"), "mean", "lower"))
     host, path = host_and_path(F.col("url"))
     parsed = pages.select(F.col(key).alias("key"), F.col(url).alias("url")).select("key", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = parsed.join(known, F.col("host") == F.col("known"), "left")
-    learned = F.when(F.col("lower") > max_bad, "block").otherwise("allow")
-    return judged.select(F.col("key").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, learned).alias("verdict"), F.col("mean").alias("bad_rate"), F.col("lower").alias("bad_rate_low"))
+    domain, suffix = domains(F.col("host"))
+    judged = parsed.select("*", domain.alias("domain"), suffix.alias("suffix"))
+    levels = ("host", "domain", "suffix")
+    for own, level in zip(levels, reputations(labelled, z)):
+        known = joinable(level.select(F.col(own).alias("known"), F.struct("mean", "lower").alias(f"of_{own}")))
+        judged = judged.join(known, F.col(own) == F.col("known"), "left").drop("known")
+    judged = judged.withColumn("found", F.coalesce(*[f"of_{own}" for own in levels]))
+    learned = F.when(F.col("found.lower") > max_bad, "block").otherwise("allow")
+    return judged.select(F.col("key").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, learned).alias("verdict"), F.col("found.mean").alias("bad_rate"), F.col("found.lower").alias("bad_rate_low"))
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:

@@ -304,3 +304,17 @@ def test_url_rules_and_reputation(spark):
     assert got[3][2:] == ("com/fr/", "allow") and got[4] == ("x.com", "/de/a", "com/de/", "block")
     assert got[5] == got[6] == ("", "", None, "allow") and got[7][2:] == (None, "block") and got[8][2:] == (None, "allow")
     assert got[9] == ("example.org", "", None, "allow")
+
+
+def test_unlabelled_hosts_have_the_reputation_of_domain_or_suffix(spark):
+    hosts = ["b.spam.net", "a.spam.net", "b.fine.net", "new.biz", "x.new.biz", "b.mixed.net", "q.zz"]
+    pages = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(hosts)], "page_id long, url string")
+    counts = [("a.spam.net", 2000, 0), ("a.fine.net", 0, 2000), ("a.mixed.net", 20, 20), *[(f"w.bad{i}.biz", 200, 2) for i in range(9)]]
+    outcomes = spark.createDataFrame([(f"http://{h}/{i}", i < bad) for h, bad, good in counts for i in range(bad + good)], "url string, bad boolean")
+    got = {r.host: r for r in urls.url_verdicts(pages, outcomes).collect()}
+    assert len(got) == len(hosts)
+    assert {h for h in hosts if got[h].verdict == "block"} == {"b.spam.net", "a.spam.net", "new.biz", "x.new.biz"}
+    levels = [{r[0]: r for r in level.collect()} for level in urls.reputations(outcomes.select(urls.host_and_path(outcomes.url)[0].alias("host"), "bad"))]
+    for host, k, node in (("a.spam.net", 0, "a.spam.net"), ("b.spam.net", 1, "spam.net"), ("b.mixed.net", 1, "mixed.net"), ("x.new.biz", 2, "biz")):
+        assert (got[host].bad_rate, got[host].bad_rate_low) == pytest.approx((levels[k][node]["mean"], levels[k][node]["lower"]))
+    assert got["q.zz"].bad_rate is None and got["q.zz"].verdict == "allow"
