@@ -17,10 +17,13 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
-#: name, operator, then a quoted literal, a bare word or a reference to another name
+#: name, operator, then a quoted literal, a bare word or a reference to another name; of any length.
+#: What can't match from the first part of a dotted or dashed name can't from a later one: the last
+#: alternative skips it whole, so that a scan stays linear.
 _PAIR = re.compile(
-    r"""(?<![\w$])["']?(?P<name>[A-Za-z_][\w.\-]{0,63})["']?[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*"""
-    r"""(?:"(?P<dq>(?:[^"\\\n]|\\.){1,512})"|'(?P<sq>(?:[^'\\\n]|\\.){1,512})'|\$\{?(?P<ref>[A-Za-z_]\w*)\}?|(?P<bare>[^\s"'#;,(){}\[\]<>]{1,512}))""",
+    r"""(?<![\w$])(?:["']?(?P<name>[A-Za-z_][\w.\-]*+)["']?[ \t]*+(?::=|=>|=(?!=)|:(?![:/]))[ \t]*+"""
+    r"""(?:"(?P<dq>(?:[^"\\\n]|\\.)++)"|'(?P<sq>(?:[^'\\\n]|\\.)++)'|\$\{?(?P<ref>[A-Za-z_]\w*+)\}?|(?P<bare>[^\s"'#;,(){}\[\]<>]++))"""
+    r"""|[A-Za-z_]\w*+[.\-]++\w[\w.\-]*+)""",
     re.ASCII,
 )
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -73,6 +76,8 @@ def pairs(text: str) -> list[tuple[str, str, int, int]]:
     found = []
     for m in _PAIR.finditer(text) if "=" in text or ":" in text else ():
         name, kind = m["name"], m.lastgroup
+        if not name:
+            continue
         if kind in ("ref", "bare") and (held := known.get(m[kind])):
             value = held
         elif kind == "ref":

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -132,6 +133,29 @@ def test_secret_constants_are_propagated_and_masked(spark):
     assert secrets.digest(awkward(spark)).count() == 7 and secrets.redact(awkward(spark)).count() == 7
 
 
+def test_secrets_of_any_length_are_found_whole(spark):
+    rng = random.Random(2)
+    long = "".join(rng.choice("ABCDEFGHabcdefgh0123456789") for _ in range(2000))
+    name = "_".join(["very"] * 18) + "_private_key"
+    texts = [f'private_key = "{long}" # end', f"auth_key: '{long}'", f"passphrase={long}", f'{name} = "{long[:40]}"', f"a.b-c_credential: {long}\nx"]
+    for t, want in zip(texts, [long, long, long, long[:40], long]):
+        assert len(name) >= 100 and [t[a:b] for a, b, _ in secrets.scan(t)[1]] == [want]
+    out = [r.text for r in secrets.redact(documents(spark, texts)).orderBy("doc_id").collect()]
+    assert out == ['private_key = "[SECRET]" # end', "auth_key: '[SECRET]'", "passphrase=[SECRET]", f'{name} = "[SECRET]"', "a.b-c_credential: [SECRET]\nx"]
+
+
+def test_secret_scan_is_linear():
+    for part in ("a-", "a.", "a", "a='", 'a="\\', "a:", "a ", '"', "a=b "):
+        small, large = (min(timed(lambda: secrets.pairs(part * n + " = ")) for _ in range(3)) for n in (20_000, 160_000))
+        assert large < 24 * small + 0.05
+
+
+def timed(f):
+    began = time.perf_counter()
+    f()
+    return time.perf_counter() - began
+
+
 # ---- 3 -----------------------------------------------------------------------------------------
 def test_tokens_equal_the_library(spark):
     P = pytest.importorskip("public_tokenizers")
