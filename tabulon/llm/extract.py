@@ -21,17 +21,20 @@ _TOKEN = re.compile(
     r"""|</?[a-z][^>]*>|<[!?/][^>]*>""",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
+#: One attribute, whole: what is found next starts behind its value.
+_ATTR = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _PART = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that never hold article text.
 DROPPED = frozenset("aside button datalist dialog fieldset footer form head input label legend menu meter nav object option optgroup output progress select".split())
-#: Words of class, id and role that mark what isn't the article.
+#: Words of class, id and role that mark what isn't the article, where a token has no other words.
 NOISE = frozenset(
     "ad ads advert adverts advertisement adverts sponsored sponsor promo banner cookie cookies consent gdpr notice notices alert disclaimer sidebar aside menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply replies respond share sharing social subscribe newsletter signup popup modal overlay related recommended teaser widget pagination pager toolbar".split()
 )
+#: Elements that no class makes noise, as they hold the article.
+HOLDERS = frozenset(("html", "body", "main"))
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 
@@ -47,14 +50,18 @@ class Page:
     ``blocks``: (path, text, in article, noise) in page order. ``styles``: for each element
     path its sequences of child tags. A path is the hash of the chain of tags with their
     classes, so elements of pages of one host that look alike meet in one node of its tree.
+    An element around an article or main isn't noise by its class.
     """
 
     def __init__(self, source: str | None):
         self.blocks: list[tuple[int, str, bool, bool]] = []
+        # path, text, in article, noise by tag, elements around that are noise by class
+        self.found: list[tuple[int, str, bool, bool, frozenset[int]]] = []
+        self.named, self.holders = 0, set()
         self.styles: dict[int, int] = {}
         self.text: list[str] = []
-        # tag, path, noise, in article, child tags
-        self.stack: list[tuple[str, int, bool, bool, list[str]]] = [("", 0, False, False, [])]
+        # tag, path, noise by tag, elements that are noise by class, in article, child tags
+        self.stack: list[tuple[str, int, bool, frozenset[int], bool, list[str]]] = [("", 0, False, frozenset(), False, [])]
         self.open: dict[str, int] = {}
         at = 0
         for m in _TOKEN.finditer(source or ""):
@@ -73,6 +80,7 @@ class Page:
         self.flush()
         while len(self.stack) > 1:
             self.pop()
+        self.blocks = [(path, text, article, noise or not named <= self.holders) for path, text, article, noise, named in self.found]
 
     def flush(self) -> None:
         if self.text:
@@ -82,8 +90,8 @@ class Page:
                 i = len(self.stack) - 1
                 while i and self.stack[i][0] not in BLOCKS:
                     i -= 1
-                _, path, noise, article, _ = self.stack[i]
-                self.blocks.append((path, text, article, noise or self.stack[-1][2]))
+                _, path, noise, named, article, _ = self.stack[i]
+                self.found.append((path, text, article, noise or self.stack[-1][2], named | self.stack[-1][3]))
 
     def start(self, tag: str, attrs: str) -> None:
         if tag in BLOCKS:
@@ -100,23 +108,31 @@ class Page:
             self.text.append("\n")
         if tag in VOID:
             return
-        _, parent, noise, article, children = self.stack[-1]
+        _, parent, noise, named, article, children = self.stack[-1]
         children.append(tag)
-        marks = ""
-        if attrs and ("=" in attrs or "hidden" in attrs):
+        marks, own = "", False
+        if attrs:
             for name, *values in _ATTR.findall(attrs):
-                value = "".join(values).lower()
                 name = name.lower()
+                if name not in ("class", "id", "role", "hidden", "aria-hidden"):
+                    continue
+                value = "".join(values).lower()
                 if name == "hidden" or (name == "aria-hidden" and value == "true"):
                     noise = True
-                elif name in ("class", "id", "role"):
+                elif name != "aria-hidden":
                     if name != "id":
                         marks += " " + value
-                    words = set(_PART.findall(value))
-                    noise = noise or bool(words & NOISE) or (not article and "header" in words)
+                    for token in value.split():
+                        words = set(_PART.findall(token))
+                        own = own or bool(words) and (words <= NOISE or (not article and words == {"header"}))
         noise = noise or tag in DROPPED or (tag == "header" and not article)
+        if tag in ("article", "main") and not article and not (own and tag == "article"):
+            self.holders |= named
+        if own and tag not in HOLDERS:
+            self.named += 1
+            named = named | {self.named}
         article = article or tag == "article" or tag == "main"
-        self.stack.append((tag, _hash(parent, tag, marks) if tag in BLOCKS or marks else parent, noise, article, []))
+        self.stack.append((tag, _hash(parent, tag, marks) if tag in BLOCKS or marks else parent, noise, named, article, []))
         self.open[tag] = self.open.get(tag, 0) + 1
 
     def close(self, tag: str) -> None:
@@ -135,7 +151,7 @@ class Page:
             self.pop()
 
     def pop(self) -> None:
-        tag, path, _, _, children = self.stack.pop()
+        tag, path, _, _, _, children = self.stack.pop()
         self.open[tag] -= 1
         if tag in BLOCKS:
             self.styles[path] = _hash(self.styles.get(path, 0), *children)

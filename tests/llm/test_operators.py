@@ -212,6 +212,19 @@ def test_extraction(spark):
     assert got[2].text == "" and got[3].text == "" and extract.main_text(pages.limit(0)).count() == 0
 
 
+def test_wrappers_and_attribute_values_are_no_noise():
+    kept = lambda html: extract.Page(html).article()
+    for wrapper in ('div style="overflow:hidden"', 'p title="A hidden valley"', "div data-id=sidebar data-class='menu'", 'div class="content no-sidebar"', 'div data-x="a" title=\'class="menu"\''):
+        tag = wrapper.split()[0]
+        assert kept(f"<body><{wrapper}>Text of it</{tag}></body>") == ["Text of it"], wrapper
+    for cls in ("has-sidebar", "sidebar"):
+        assert kept(f'<body class="{cls}"><p>Text</p></body>') == kept(f"<main class={cls}><p>Text</p></main>") == ["Text"]
+    assert kept('<div class="widget"><article><p>Text</p></article></div>') == ["Text"]
+    assert kept('<article><p>Text</p></article><div class="comments"><article class="comment"><p>no</p></article></div>') == ["Text"]
+    for mark in ('class="x sidebar"', "id=cookie-banner", "hidden", "HIDDEN", 'title="a>b" hidden', "aria-hidden=true", "class=nav-menu2"):
+        assert kept(f"<body><p>Text</p><div {mark}>no</div></body>") == ["Text"], mark
+
+
 def test_style_tree_removes_unmarked_template_blocks(spark):
     rng = random.Random(5)
     html = lambda: f"<body><div class=a><p>{prose(rng, 40)}</p></div><div class=b><p>Same words on all pages</p></div></body>"
