@@ -60,6 +60,14 @@ def unused(df: DataFrame, stem: str, *others: DataFrame) -> str:
     return name
 
 
+def place_of(df: DataFrame, name: str) -> int | None:
+    """The place of a column among ``df``'s, matched as Spark does: exactly, else without case; None if there is none."""
+    if name in df.columns:
+        return df.columns.index(name)
+    low = [c.lower() for c in df.columns]
+    return low.index(name.lower()) if name.lower() in low else None
+
+
 def joinable(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df``, made durable, with a broadcast hint if it has at most ``rows`` rows; beyond
     that it is left to a shuffled join, whose hot partitions adaptive execution splits."""
