@@ -271,11 +271,71 @@ def test_wrappers_and_attribute_values_are_no_noise():
         assert kept(f"<body><p>Text</p><div {mark}>no</div></body>") == ["Text"], mark
 
 
-def test_style_tree_removes_unmarked_template_blocks(spark):
+def brute_noise(pages, threshold=0.4, gamma=0.9):
+    """(host, path) of the noise of each host's tree, node by node from its definition."""
+    seen = {}
+    for host, html in set(pages):
+        page = extract.Page(html)
+        for x in page.clean():
+            for i, path in enumerate(x.judged):
+                node = seen.setdefault((host, path), {"styles": {}, "texts": {}, "linked": set(), "inside": path in page.inner, "up": x.judged[i - 1] if i else None})
+                node["styles"][html] = page.styles.get(path, 0)
+                node["texts"].setdefault(x.text, set()).add(html)
+                node["linked"] |= {x.text} if x.linked else set()
+    noise, kept = set(), []
+    for (host, path), node in seen.items():
+        m, texts = len(node["styles"]), node["texts"]
+        n = sum(map(len, texts.values()))
+        imp = 1.0
+        if m > 1:
+            shares = [list(node["styles"].values()).count(v) / m for v in set(node["styles"].values())]
+            presentation = -sum(p * np.log(p) for p in shares) / np.log(m)
+            content = sum(len(k) * (1 - np.log(len(k)) / np.log(m)) for k in texts.values()) / n
+            imp = (1 - gamma) * presentation + gamma * content
+        s = 6.0 if node["inside"] else 2.0
+        prior = 0.9 - 0.6 * sum(len(k) for t, k in texts.items() if t in node["linked"]) / n
+        if (m * imp + s * prior) / (m + s) < threshold:
+            noise.add((host, path))
+        else:
+            kept.append((host, path))
+    for host, path in kept:
+        while path is not None:
+            noise.discard((host, path))
+            path = seen[host, path]["up"]
+    return noise
+
+
+def template_site(rng, host, n):
+    menu = "".join(f"<li><a href=/{w}>{w}</a></li>" for w in prose(rng, 6).split())
+    for i in range(n):
+        yield f"""<body><div class=top{i % 2}><ul>{menu}</ul></div><div class=page><div class=story><h1>{prose(rng, 5)}</h1><p>{prose(rng, 30)}</p>lead {prose(rng, 9)}<p>{prose(rng, 20)}</p></div>
+        <div class=x><p>All rights of {host}</p><p>Terms of {host}</p></div></div><div class=y>Visit us at {host}<span class=ad>buy</span> today</div></body>"""
+
+
+def test_style_tree_equals_brute_force_and_removes_branches(spark):
     rng = random.Random(5)
-    html = lambda: f"<body><div class=a><p>{prose(rng, 40)}</p></div><div class=b><p>Same words on all pages</p></div></body>"
-    pages = spark.createDataFrame([(i, f"http://h.com/{i}", html()) for i in range(30)], "page_id long, url string, html string")
-    assert not any("Same words" in r.text or not r.text for r in extract.main_text(pages).collect())
+    rows = [(f"h{n}.com", html) for n in (1, 2, 3, 9, 30) for html in template_site(rng, f"h{n}.com", n)]
+    pages = spark.createDataFrame([(i, f"http://{h}/{i}", html) for i, (h, html) in enumerate(rows)], "page_id long, url string, html string")
+    tree = extract.style_tree(spark.createDataFrame(rows, "host string, html string"))
+    want = brute_noise(rows)
+    assert {(r.host, r.path) for r in extract.noisy_nodes(tree).collect()} == want
+    got = {r.page_id: r.text for r in extract.main_text(pages).collect()}
+    assert got == {r.page_id: r.text for r in extract.main_text(pages, broadcast_nodes=0).collect()}
+    for i, (host, html) in enumerate(rows):
+        assert got[i] == "\n\n".join(extract.Page(html).article(frozenset(p for h, p in want if h == host)))
+        noise = "All rights" in got[i] or "Visit us" in got[i]
+        assert "lead" in got[i] and got[i].count("\n\n") >= 3 and "buy" not in got[i]
+        assert noise == (host in ("h1.com", "h2.com")), host
+        menu = html.split("<a href=/")[1].split(">")[0] + "\n\n" in got[i]
+        assert host == "h3.com" or menu == (host in ("h1.com", "h2.com")), host
+
+
+def test_extraction_of_very_long_and_broken_pages():
+    for part in ("<a ", '<a "', "<a \"'>", "<a ' x>", "<script ", "<!--", "<b>", "<div>", "<p><b>", "<ul><li>", "</p>", "&amp;", "<x y=z ", '<div class="menu">', "<td><tr>", "a<", "<!", "<svg "):
+        small, large = (min(timed(lambda: extract.Page(part * n + "text").article()) for _ in range(2)) for n in (4_000, 32_000))
+        assert large < 24 * small + 0.1, part
+    assert extract.Page("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after").article() == ["deep", "after"]
+    assert extract.Page("<p>a <math><mi>x</mi></math> b <span class=ad>c</span>d</p>").article() == ["a x b d"]
 
 
 def test_copies_of_a_page_are_no_template(spark):
