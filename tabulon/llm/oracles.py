@@ -58,25 +58,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM s LEFT JOIN limits USING (stratum)"""
 
 
-def urls_sql(max_bad: float = 0.5, z: float = 1.645) -> str:
+def urls_sql(max_bad: float = 0.5, doubt: float = 0.05) -> str:
     rules = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r))
     fits = lambda h, p: f"(host = '{h}' OR suffix(host, '.{h}')) AND prefix(path, '{p}')"
     chain = lambda pick: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{pick((v, h, p))}'" for v, h, p in rules) + " END"
-    parse = f"""translate(regexp_extract(r, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
-    FROM (SELECT *, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages)"""
     deep = f"CASE WHEN len(x) >= 3 AND length(x[-1]) = 2 AND x[-2] IN ({', '.join(map(repr, SECOND_LEVEL))}) THEN 2 ELSE 1 END"
+    last = lambda more: f"CASE WHEN regexp_matches(name, '^[0-9.]+$') THEN name ELSE array_to_string(x[greatest(len(x) - {deep} + {1 - more}, 1):], '.') END"
 
     def shrunk(name: str, level: str, parent: str, key: str) -> str:
         return f"""{name}_m AS (SELECT l.*, p.mean AS m FROM {level} l JOIN {parent} p ON l.{key} = p.{key}),
 {name}_s AS (SELECT 1 / least(greatest(coalesce(sum(pow(bad - n * m, 2) - n * m * (1 - m)) / nullif(sum(n * m * (1 - m) * (n - 1)), 0), 0.001), 0.001), 0.999) - 1 AS s FROM {name}_m),
-{name} AS (SELECT * EXCLUDE (m, s), bad + s * m AS a, n - bad + s * (1 - m) AS b, (bad + s * m) / (n + s) AS mean FROM {name}_m, {name}_s)"""
+{name}_p AS (SELECT * EXCLUDE (m, s), bad + s * m AS a, n - bad + s * (1 - m) AS b, (bad + s * m) / (n + s) AS mean FROM {name}_m, {name}_s),
+{name} AS (SELECT *, CASE WHEN mean > {max_bad} THEN list_sum(list_transform(range(0, (10 * sqrt(a + b) + 200)::bigint), lambda i:
+    exp(a * ln({max_bad}) + b * ln(1 - {max_bad}) - ln(a) - lgamma(a) - lgamma(b) + lgamma(a + b) + lgamma(a + b + i) - lgamma(a + b) - lgamma(a + 1 + i) + lgamma(a + 1) + i * ln({max_bad})))) ELSE 1 END AS below FROM {name}_p)"""
 
     return f"""
-WITH parsed AS (SELECT page_id, url, {parse}),
+WITH parsed0 AS (SELECT page_id, url, translate(regexp_extract(r, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM (SELECT *, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages)),
+parsed1 AS (SELECT *, string_split(name, '.') AS x FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM parsed0)),
+parsed AS (SELECT page_id, url, host, path, {last(1)} AS dom, {last(0)} AS suf FROM parsed1),
 judged AS (SELECT doc_id, bool_or(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-hosts0 AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE bad) AS bad FROM parsed JOIN judged ON page_id = doc_id WHERE url IS NOT NULL GROUP BY host),
-hosts1 AS (SELECT *, string_split(host, '.') AS x FROM hosts0),
-hosts AS (SELECT host, n, bad, array_to_string(x[greatest(len(x) - {deep}, 1):], '.') AS dom, array_to_string(x[greatest(len(x) - {deep} + 1, 1):], '.') AS suf FROM hosts1),
+hosts AS (SELECT host, dom, suf, count(*) AS n, count(*) FILTER (WHERE bad) AS bad FROM parsed JOIN judged ON page_id = doc_id WHERE host <> '' GROUP BY ALL),
 top AS (SELECT 0 AS root, (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS mean FROM hosts),
 suf0 AS (SELECT 0 AS root, suf, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY suf),
 {shrunk("sufs", "suf0", "top", "root")},
@@ -84,9 +86,9 @@ dom0 AS (SELECT dom, suf, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY dom,
 {shrunk("doms", "dom0", "sufs", "suf")},
 host0 AS (SELECT host, dom, n, bad FROM hosts),
 {shrunk("known", "host0", "doms", "dom")}
-SELECT page_id, host, path, {chain(lambda r: r[1] + r[2])} AS rule,
-  coalesce({chain(lambda r: r[0])}, CASE WHEN mean - {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {max_bad} THEN 'block' ELSE 'allow' END) AS verdict
-FROM parsed LEFT JOIN (SELECT host, a, b, mean FROM known) USING (host)"""
+SELECT page_id, parsed.host, path, {chain(lambda r: r[1] + r[2]).replace("host", "parsed.host")} AS rule,
+  coalesce({chain(lambda r: r[0]).replace("host", "parsed.host")}, CASE WHEN coalesce(known.below, doms.below, sufs.below) < {doubt} THEN 'block' ELSE 'allow' END) AS verdict
+FROM parsed LEFT JOIN known ON parsed.host = known.host LEFT JOIN doms ON parsed.dom = doms.dom LEFT JOIN sufs ON parsed.suf = sufs.suf"""
 
 
 def mix_sql(mix: Mix = Mix()) -> str:

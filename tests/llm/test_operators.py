@@ -1,17 +1,21 @@
 """The corpus operators against brute force, on small tables with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import time
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tabulon.llm import decontaminate, extract, language, mixing, quality, secrets, simhash, tokens, urls, warc
 from tabulon.llm.common import table
 from tabulon.llm.components import connected_components
+from tabulon.llm.oracles import urls_sql
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -459,5 +463,38 @@ def test_unlabelled_hosts_have_the_reputation_of_domain_or_suffix(spark):
     assert {h for h in hosts if got[h].verdict == "block"} == {"b.spam.net", "a.spam.net", "new.biz", "x.new.biz"}
     levels = [{r[0]: r for r in level.collect()} for level in urls.reputations(outcomes.select(urls.host_and_path(outcomes.url)[0].alias("host"), "bad"))]
     for host, k, node in (("a.spam.net", 0, "a.spam.net"), ("b.spam.net", 1, "spam.net"), ("b.mixed.net", 1, "mixed.net"), ("x.new.biz", 2, "biz")):
-        assert (got[host].bad_rate, got[host].bad_rate_low) == pytest.approx((levels[k][node]["mean"], levels[k][node]["lower"]))
+        assert (got[host].bad_rate, got[host].bad_rate_below) == pytest.approx((levels[k][node]["mean"], levels[k][node]["below"]))
     assert got["q.zz"].bad_rate is None and got["q.zz"].verdict == "allow"
+
+
+def test_url_verdicts_equal_their_sql_where_reputation_blocks(spark):
+    rng = random.Random(4)
+    hosts = {"a.spam.net": 0.95, "b.spam.net": None, "c.spam.net:8080": None, "u@d.spam.net": None, "fine.net": 0.02, "x.co.uk": 0.9, "y.co.uk": 0.97, "new.co.uk": None, "z.ac.uk": 0.1, "1.2.3.4": 0.9, "5.6.7.8": None, "odd.zz": 0.5, "few.zz": 1.0}
+    pages, labels = [], []
+    for host, bad in hosts.items():
+        for _ in range(3 if host == "few.zz" else 60):
+            pages.append((len(pages), f"https://{host}/{rng.choice(['fr', 'de', 'x'])}/{len(pages)}"))
+            if bad is not None:
+                labels.append((len(pages) - 1, int(rng.random() > bad), 0))
+    pages += [(10_000, None), (10_001, "no host"), (10_002, "://"), (10_002, "://")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)").executemany("INSERT INTO pages VALUES (?, ?)", pages)
+    con.execute("CREATE TABLE labels (doc_id BIGINT, quality INT, toxic INT)").executemany("INSERT INTO labels VALUES (?, ?, ?)", labels)
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    got = urls.url_verdicts(frame, urls.labelled_pages(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    got = sorted(map(tuple, got.select("page_id", "host", "path", "rule", "verdict").collect()), key=str)
+    assert got == sorted(con.execute(urls_sql()).fetchall(), key=str)
+    blocked = {r[1] for r in got if r[4] == "block" and r[3] is None}
+    assert {"a.spam.net", "b.spam.net", "c.spam.net:8080", "u@d.spam.net", "x.co.uk", "new.co.uk", "1.2.3.4"} <= blocked and not {"fine.net", "odd.zz", "z.ac.uk", ""} & blocked
+
+
+def test_beta_below_and_domains(spark):
+    cases = [(3.0, 1.0, 0.5), (30.5, 10.2, 0.5), (800.0, 700.0, 0.5), (5.5, 0.3, 0.7), (20_000.0, 10.0, 0.5)]
+    for a, b, x in cases:
+        t = np.linspace(0, x, 400_001)[1:-1]
+        lg = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+        want = np.exp((a - 1) * np.log(t) + (b - 1) * np.log1p(-t) + lg).sum() * (t[1] - t[0])
+        got = spark.range(1).select(urls.beta_below(F.lit(a), F.lit(b), x).alias("p")).first().p
+        assert got == pytest.approx(want, rel=1e-3, abs=1e-12)
+    name = spark.createDataFrame([("u:p@a.b.github.io:80",), ("github.io",)], "host string")
+    assert [tuple(r) for r in name.select(*urls.domains(name.host, ["github.io"])).collect()] == [("b.github.io", "github.io"), ("github.io", "github.io")]
