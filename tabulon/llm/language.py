@@ -23,41 +23,49 @@ PIECE = 1 << 18
 @dataclass(frozen=True)
 class Training:
     """Bounds of the labelled sample. The model is fitted on at most ``rows`` training documents
-    of each of the ``languages`` commonest languages, of up to ``chars`` characters each, and
-    calibrated on as many others; all are chosen by a hash of their key. ``order``: longest n-gram."""
+    of each language and ``total`` of all (one of each language at least), of up to ``chars``
+    characters each, and calibrated on as many others; all are chosen by a hash of their key. No
+    language is left out. ``order``: longest n-gram."""
 
     rows: int = 1500
+    total: int = 30_000
     chars: int = 20_000
-    languages: int = 200
     order: int = 4
     folds: int = 5
     reject: float = 0.5
 
 
 def _char_table() -> np.ndarray:
-    """Lower-case letter of each BMP code point, BLANK where it isn't a letter or mark."""
+    """Lower-case letter of each code point, BLANK where it isn't a letter or mark; marks have MARK added."""
     out = np.full(0x110000, BLANK, np.uint32)
     for c in range(0x110000):
         x = chr(c)
-        if unicodedata.category(x)[0] in "LM":
+        kind = unicodedata.category(x)[0]
+        if kind == "L":
             low = x.lower()
             out[c] = ord(low) if len(low) == 1 else c
+        elif kind == "M":
+            out[c] = c + MARK
     return out
 
 
+MARK = 1 << 21
 _CHARS: list[np.ndarray] = []
 
 
 def letters(text: str) -> np.ndarray:
-    """Code points of a text: letters lower-cased, each run of others as one blank, blanks at both ends; empty without letters."""
+    """Code points of a text: letters lower-cased, each run of others as one blank, blanks at both ends;
+    marks stay where they are; empty without letters."""
     if not _CHARS:
         _CHARS.append(_char_table())
     x = _CHARS[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    if not ((x != BLANK) & (x < MARK)).any():
+        return x[:0]
+    x &= np.uint32(MARK - 1)
     x = np.concatenate((np.array([BLANK], np.uint32), x, np.array([BLANK], np.uint32)))
     keep = np.ones(len(x), bool)
     keep[1:] = (x[1:] != BLANK) | (x[:-1] != BLANK)
-    x = x[keep]
-    return x if len(x) > 1 else x[:0]
+    return x[keep]
 
 
 def _keys(x: np.ndarray, n: int) -> np.ndarray:
@@ -76,13 +84,14 @@ def sample(docs: DataFrame, how: Training) -> DataFrame:
     few times the bound however large the table.
     """
     train = docs.filter("lang is not null and text is not null and length(text) <= " + str(how.chars) + " and pmod(crc32(cast(cast(key as string) as binary)), " + str(how.folds) + ") <> 0")
-    sizes = durable(train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(how.languages))
+    sizes = durable(train.groupBy("lang").agg(F.count("*").alias("n")))
+    rows = max(1, min(how.rows, how.total // max(1, sizes.count())))
     draw = F.xxhash64(F.lit("language sample"), F.col("key"))
-    share = (draw.bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) * F.col("n") < 3.0 * how.rows
+    share = (draw.bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) * F.col("n") < 3.0 * rows
     drawn = train.join(F.broadcast(sizes), "lang").filter(share)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "text"))
-    picked = drawn.withColumn("place", place).filter(F.col("place") <= 2 * how.rows)
-    return durable(picked.select("lang", "text", (F.col("place") % 2).cast("int").alias("part")))
+    picked = drawn.withColumn("place", place).filter(F.col("place") <= 2 * rows)
+    return durable(picked.select("lang", "text", ((F.col("place") - 1) % 2).cast("int").alias("part")))
 
 
 def gram_counts(texts: DataFrame, order: int) -> DataFrame:
@@ -102,13 +111,14 @@ def gram_counts(texts: DataFrame, order: int) -> DataFrame:
     return texts.mapInArrow(run, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
 
 
-def kneser_ney(counts: DataFrame, order: int) -> list[DataFrame]:
-    """Interpolated Kneser-Ney tables for n = 1 to ``order``: (lang, gram, head, tail, p).
+def kneser_ney(counts: DataFrame, order: int) -> tuple[list[tuple[DataFrame, DataFrame]], int]:
+    """Interpolated Kneser-Ney tables for n = 1 to ``order``: (lang, gram, tail, p), and the size of the alphabet.
 
     The longest n-grams count occurrences, the others the different characters before them.
     A discount n1 / (n1 + 2 n2) per language and length goes to the next shorter gram; the
-    shortest interpolate with the uniform distribution over the characters seen in any language.
-    Also (lang, gram as context, gamma), what a context leaves to shorter grams.
+    shortest interpolate with the uniform distribution over the alphabet, the characters seen in
+    any language and one for all others. With each table comes (lang, head, total, d, gamma): what a
+    context leaves to shorter grams.
     """
     counts = durable(counts)
     alphabet = counts.filter("n = 1").select("gram").distinct().count() + 1  # a number
@@ -133,81 +143,98 @@ def kneser_ney(counts: DataFrame, order: int) -> list[DataFrame]:
             t = t.select("lang", "gram", "tail", (own + F.col("gamma") * F.coalesce("q", F.lit(1.0 / alphabet))).alias("p"))
         lower = durable(t)
         out.append((lower, context))
-    return out
+    return out, alphabet
 
 
-class Scorer:
-    """Sorted hash arrays of the n-grams of all languages, each with one log probability per language."""
-
-    def __init__(self, langs: list[str], tables: list[tuple[np.ndarray, np.ndarray]], floor: np.ndarray):
-        """tables: for each length the sorted hashes and, languages by grams, the log probabilities."""
-        self.langs, self.floor = langs, floor
-        self.tables = [(np.append(k, np.uint64(2**64 - 1)), v, self._starts(k)) for k, v in tables]
-
-    @staticmethod
-    def _starts(keys: np.ndarray) -> np.ndarray:
-        """Where in the sorted hashes each value of their first 16 bits begins."""
-        return np.searchsorted(keys >> np.uint64(48), np.arange((1 << 16) + 1, dtype=np.uint64))
-
-    @staticmethod
-    def _find(keys: np.ndarray, starts: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Place of the first hash not below each of ``q``: from where its first bits begin, step by step."""
-        i = starts[(q >> np.uint64(48)).view(np.int64)]
-        j = np.flatnonzero(keys[i] < q)
+class Hashed:
+    """A sorted array of 64-bit hashes, with one number per language for each."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        """keys: the hashes in any order; values: hashes by languages."""
+        order = np.argsort(keys)
+        keys = keys[order]
+        self.values = np.ascontiguousarray(values[order].T.astype(np.float32))
+        self.starts = np.searchsorted(keys >> np.uint64(48), np.arange((1 << 16) + 1, dtype=np.uint64))  # where each value of the first 16 bits begins
+        self.keys = np.append(keys, np.uint64(2**64 - 1))
+
+    def find(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the hashes ``q``, whether they are there)."""
+        i = self.starts[(q >> np.uint64(48)).view(np.int64)]
+        j = np.flatnonzero(self.keys[i] < q)
         while len(j):
             i[j] += 1
-            j = j[keys[i[j]] < q[j]]
-        return i
+            j = j[self.keys[i[j]] < q[j]]
+        return i, (self.keys[i] == q) & (i < len(self.keys) - 1)
+
+    def total(self, i: np.ndarray) -> list[float]:
+        """For each language the sum of the numbers at the places ``i``."""
+        return [v.take(i).sum(dtype=np.float64) for v in self.values]
+
+
+def _keys_of(grams: list[str], n: int) -> np.ndarray:
+    return np.array([_keys(np.array(list(map(ord, g)), np.uint32), n)[0] for g in grams], np.uint64)
+
+
+class Scorer:
+    """The n-grams of all languages in sorted hash arrays, with their log probabilities, and their
+    contexts with the log weights gamma at which what they leave goes to shorter grams."""
+
+    def __init__(self, langs: list[str], grams: list[Hashed], contexts: list[Hashed], floor: np.ndarray):
+        """grams and contexts for each length from 1 on; floor: each language's log probability of a character nobody saw."""
+        self.langs, self.grams, self.contexts, self.floor = langs, grams, contexts, floor
 
     @classmethod
-    def build(cls, levels: list[tuple[DataFrame, DataFrame]]) -> Scorer:
+    def build(cls, levels: list[tuple[DataFrame, DataFrame]], alphabet: int) -> Scorer:
         """From the tables of ``kneser_ney``. Their size is bounded by the training sample's characters.
 
         For a gram that some language saw, the others' interpolated probability is what their
         contexts leave to shorter grams, so that one lookup gives all languages' values.
         """
-        langs = sorted(r[0] for r in levels[0][0].select("lang").distinct().collect()) if levels else []
+        langs = sorted(r[0] for r in levels[0][0].select("lang").distinct().collect())
         place = {x: i for i, x in enumerate(langs)}
-        known: dict[str, np.ndarray] = {}
-        tables = []
-        low = np.full(len(langs), 1e-6)
-        for n, (grams, context) in enumerate(levels, 1):
+        below, grams, contexts = {}, [], []
+        uniform = np.full(len(langs), 1.0 / alphabet)
+        for n, (table, context) in enumerate(levels, 1):
             heads: dict[str, np.ndarray] = {}
             for lang, head, gamma in zip(*(c.to_pylist() for c in context.select("lang", "head", "gamma").toArrow().columns)):
                 heads.setdefault(head, np.ones(len(langs)))[place[lang]] = gamma
+            if n == 1:
+                low = uniform * heads.get("", 1.0)
             now: dict[str, np.ndarray] = {}
-            rows = grams.select("lang", "gram", "p").toArrow()
+            rows = table.select("lang", "gram", "p").toArrow()
             for g in dict.fromkeys(rows.column("gram").to_pylist()):
-                below = known.get(g[1:], low) if n > 1 else low
-                now[g] = heads[g[:-1]] * below if g[:-1] in heads else below.copy()
+                shorter = below[g[1:]] if n > 1 else uniform
+                now[g] = heads[g[:-1]] * shorter
             for lang, g, p in zip(*(c.to_pylist() for c in rows.columns)):
                 now[g][place[lang]] = p
-            keys = np.array([_keys(np.array(list(map(ord, g)), np.uint32), n)[0] for g in now], np.uint64)
-            values = np.log(np.maximum(np.array(list(now.values())), 1e-12)).astype(np.float32)
-            order = np.argsort(keys)
-            tables.append((keys[order], np.ascontiguousarray(values[order].T)))
-            known = now
-        return cls(langs, tables, np.log(low).astype(np.float32))
+            stack = lambda d: np.log(np.array(list(d.values())).reshape(len(d), len(langs)))
+            grams.append(Hashed(_keys_of(list(now), n), stack(now)))
+            contexts.append(Hashed(_keys_of(list(heads), n - 1) if n > 1 else np.zeros(len(heads), np.uint64), stack(heads)))
+            below = now
+        return cls(langs, grams, contexts, np.log(low) if levels else np.zeros(0))
 
     def cross_entropy(self, x: np.ndarray) -> np.ndarray:
-        """Nats per character of the letters ``x`` under each language."""
+        """Nats per character of the letters ``x`` under each language, that of each character given those before it.
+
+        Where no language saw the longest gram that ends at a character, each pays its context's gamma
+        and the next shorter gram is looked up, down to the floor.
+        """
         total = np.zeros(len(self.langs))
-        top = len(self.tables)
+        top = len(self.grams)
         for at in range(1, len(x), PIECE):
-            low = max(0, at - top + 1)
-            piece = x[low : at + PIECE]
-            todo = np.arange(at - low, len(piece))
+            piece = x[max(0, at - top + 1) : at + PIECE]
+            todo = np.arange(at - max(0, at - top + 1), len(piece))
             for n in range(top, 0, -1):
-                keys, values, starts = self.tables[n - 1]
-                if not len(todo) or len(keys) == 1:
-                    continue
+                if not len(todo):
+                    break
                 old, mine = (todo[todo < n - 1], todo[todo >= n - 1]) if todo[0] < n - 1 else (todo[:0], todo)
-                q = _keys(piece, n)[mine - (n - 1)]
-                i = self._find(keys, starts, q)
-                met = (keys[i] == q) & (i < len(keys) - 1)
-                i = i[met]
-                total += [v.take(i).sum(dtype=np.float64) for v in values]
-                todo = np.concatenate((old, mine[~met]))
+                i, met = self.grams[n - 1].find(_keys(piece, n)[mine - (n - 1)])
+                total += self.grams[n - 1].total(i[met])
+                mine = mine[~met]
+                if n > 1 and len(mine):
+                    i, met = self.contexts[n - 1].find(_keys(piece, n - 1)[mine - (n - 1)])
+                    total += self.contexts[n - 1].total(i[met])
+                todo = np.concatenate((old, mine))
             total += len(todo) * self.floor
         return -total / (len(x) - 1)
 
@@ -244,7 +271,7 @@ def train(docs: DataFrame, how: Training) -> tuple[Scorer, float, float]:
     """The model of ``docs`` (key, text, lang), from its training folds only."""
     drawn = sample(docs, how)
     counts = gram_counts(drawn.filter("part = 0").select("lang", "text"), how.order)
-    scorer = Scorer.build(kneser_ney(counts, how.order))
+    scorer = Scorer.build(*kneser_ney(counts, how.order))
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -362,15 +362,65 @@ def test_language_held_out_accuracy(spark):
     assert language.identify(docs.limit(0)).count() == 0
 
 
-def test_language_scores_in_pieces_equal_whole(monkeypatch):
-    rng = np.random.default_rng(1)
-    keys = np.unique(rng.integers(0, 2**63, 50, dtype=np.uint64))
-    x = language.letters("abc de fgh " * 50)
-    own = np.unique(language._keys(x, 1))
-    s = language.Scorer(["a", "b"], [(own, rng.random((2, len(own))).astype(np.float32)), (keys, rng.random((2, len(keys))).astype(np.float32))], np.zeros(2, np.float32))
-    whole = s.cross_entropy(x)
+def brute_kneser_ney(texts, order):
+    """(lang, context, character) -> probability, from the definition, on counts of all n-grams."""
+    seen = {}
+    for lang, text in texts:
+        x = "".join(map(chr, language.letters(text).tolist()))
+        for n in range(1, order + 1):
+            for i in range(len(x) - n + 1):
+                key = lang, x[i : i + n]
+                seen[key] = seen.get(key, 0) + 1
+    langs = {k for k, _ in seen}
+    alphabet = len({g for _, g in seen if len(g) == 1}) + 1
+    counts = {(k, n): {} for k in langs for n in range(1, order + 1)}
+    for (k, g), c in seen.items():
+        if len(g) == order:
+            counts[k, order][g] = c
+        if len(g) > 1:
+            counts[k, len(g) - 1][g[1:]] = counts[k, len(g) - 1].get(g[1:], 0) + 1
+
+    def p(lang, context, ch):
+        n = len(context) + 1
+        c = counts[lang, n]
+        shorter = p(lang, context[1:], ch) if n > 1 else 1 / alphabet
+        same = {g: v for g, v in c.items() if g[:-1] == context}
+        if not same:
+            return shorter
+        n1, n2 = (sum(v == i for v in c.values()) for i in (1, 2))
+        d = min(max(n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5, 0.1), 0.9)
+        total = sum(same.values())
+        return max(same.get(context + ch, 0) - d, 0) / total + d * len(same) / total * shorter
+
+    return p, sorted(langs), alphabet
+
+
+def test_kneser_ney_equals_brute_force(spark, monkeypatch):
+    texts = [("aa", "abra cadabra abba"), ("aa", "barracuda"), ("bb", "le lac bleu, la balle"), ("bb", "é bla"), ("cc", "zzz")]
+    frame = spark.createDataFrame(texts, "lang string, text string")
+    scorer = language.Scorer.build(*language.kneser_ney(language.gram_counts(frame, 3), 3))
+    p, langs, alphabet = brute_kneser_ney(texts, 3)
+    assert scorer.langs == langs
+    for text in ("abra", "la cuda bleu", "xq zz lac", "q", "abbazé"):
+        x = language.letters(text)
+        s = "".join(map(chr, x.tolist()))
+        want = [-sum(math.log(p(k, s[max(0, i - 2) : i], s[i])) for i in range(1, len(s))) / (len(s) - 1) for k in langs]
+        assert np.allclose(scorer.cross_entropy(x), want, rtol=1e-5)
+    for context in ("", "a", "la", "qq"):  # a distribution over the alphabet, one character of which stands for all unseen
+        letters = sorted({c for _, t in texts for c in map(chr, language.letters(t).tolist())}) + ["ж"]
+        assert len(letters) == alphabet and all(abs(sum(p(k, context, c) for c in letters) - 1) < 1e-9 for k in langs)
+    long = language.letters("abra la cuda zx " * 50)
+    whole = scorer.cross_entropy(long)
     monkeypatch.setattr(language, "PIECE", 7)
-    assert np.allclose(whole, s.cross_entropy(x))
+    assert np.allclose(whole, scorer.cross_entropy(long))
+
+
+def test_language_of_rare_languages_and_marks(spark):
+    rows = [(i, text, lang, "s", 0) for lang, word, n in (("en", "the cat sat on the mat ", 40), ("de", "der hund und die katze ", 40), ("qq", "zyzzyva xylyl qoph ", 2)) for i, text in enumerate([word * 5] * n, len(lang) * ord(word[0]) * 100)]
+    rows = [(5 * i + k, t, x, s, n) for i, (_, t, x, s, n) in enumerate(rows) for k in (0, 1)]
+    docs = spark.createDataFrame([*rows, (10**6, "\u0301\u0300", None, "s", 0), (10**6 + 1, "123 !", None, "s", 0)], DOCS)
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs).collect()}
+    assert got[10**6] == got[10**6 + 1] == "und" and all(got[d] == x for d, _, x, *_ in rows)
 
 
 # ---- 7 -----------------------------------------------------------------------------------------
