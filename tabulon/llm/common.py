@@ -70,7 +70,10 @@ def place_of(df: DataFrame, name: str) -> int | None:
 
 def joinable(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df``, made durable, with a broadcast hint if it has at most ``rows`` rows; beyond
-    that it is left to a shuffled join, whose hot partitions adaptive execution splits."""
+    that it is left to a shuffled join, whose hot partitions adaptive execution splits.
+
+    100,000 is meant for rows of up to a hundred bytes; rows of a few numbers may be a million.
+    """
     kept = durable(df)
     return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
 

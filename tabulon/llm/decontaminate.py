@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, unused
+from .common import durable, joinable, unused
 
 #: Words of a window, of a hashed k-gram, and k-grams of a winnow: K + W - 1 = SPAN, so any
 #: SPAN shared words share a whole winnow and with it its least k-gram.
 SPAN, K = 10, 5
 W = SPAN - K + 1
-#: Slots of the filter of benchmark hashes that goes to every task: 512 KB, whatever the benchmark's size.
+#: Slots of each of the two filters of benchmark hashes that go to every task: 512 KB, whatever the benchmark's size.
 SLOTS = 1 << 22
 
 _WORD = np.zeros(256, bool)
@@ -54,9 +54,9 @@ def lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Byte offsets at which the words begin and end."""
-    inside = _WORD[np.frombuffer(raw, np.uint8)]
+def word_spans(raw: bytes, of_words: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offsets at which the words, runs of bytes that ``of_words`` marks, begin and end."""
+    inside = of_words[np.frombuffer(raw, np.uint8)]
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     return edge[::2], edge[1::2]
 
@@ -90,38 +90,36 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of the benchmark's items: (item, len, seed, window): an item of fewer than SPAN words is one window.
+    """Windows of the benchmark's items: (item, len, hash, seeds, window): an item of fewer than SPAN words is one window.
 
-    seed: the hash by which documents find the window. A window of SPAN words has one or more
-    seeds, those that winnowing keeps of it; a short one has its own hash.
+    seeds: the hashes of the k-grams that winnowing keeps of the window; a short window has none.
     """
     for b in batches:
-        out: dict[str, list] = {"item": [], "len": [], "seed": [], "at": [], "window": []}
+        out: dict[str, list] = {"item": [], "len": [], "hash": [], "seeds": [], "window": []}
         for item, text in zip(b.column("item"), b.column("text")):
             raw = lowered(text.as_py())
             starts, ends = word_spans(raw)
-            n = len(starts)
-            if not n:
+            if not len(starts):
                 continue
-            h = word_hashes(raw, starts, ends)
-            words = _TOKENS.findall(raw)
-            if n < SPAN:
-                rows = [(n, int(_signed(gram_hashes(h, n))[0]), 0, b" ".join(words))]
-            else:
-                grams = gram_hashes(h, K)
-                rows = [(SPAN, int(_signed(grams[i + s : i + s + 1])[0]), s, b" ".join(words[i : i + SPAN])) for i in range(n - SPAN + 1) for s in winnow(grams[i : i + W]).tolist()]
-            for length, seed, at, window in rows:
-                for k, v in zip(out, (item.as_py(), length, seed, at, window)):
+            h, words, n = word_hashes(raw, starts, ends), _TOKENS.findall(raw), min(len(starts), SPAN)
+            grams = gram_hashes(h, K)
+            for i, whole in enumerate(_signed(gram_hashes(h, n)).tolist()):
+                seeds = _signed(grams[i + winnow(grams[i : i + W])]).tolist() if n == SPAN else []
+                for k, v in zip(out, (item.as_py(), n, whole, seeds, b" ".join(words[i : i + n]))):
                     out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out["item"], b.schema.field("item").type), pa.array(out["len"], pa.int32()), pa.array(out["seed"], pa.int64()), pa.array(out["at"], pa.int32()), pa.array(out["window"], pa.binary())], list(out))
+        yield pa.RecordBatch.from_arrays([pa.array(out["item"], b.schema.field("item").type), pa.array(out["len"], pa.int32()), pa.array(out["hash"], pa.int64()), pa.array(out["seeds"], pa.list_(pa.int64())), pa.array(out["window"], pa.binary())], list(out))
 
 
-def _seeds(slots: bytes, short: list[int], keep: list[str]):
-    """Task code: of each document its number of words and the runs of words around the seeds in the filter."""
-    seeded = pa.list_(pa.struct([("seed", pa.int64()), ("len", pa.int32()), ("from", pa.int32()), ("to", pa.int32()), ("at", pa.int32()), ("run", pa.binary())]))
+def _windows(seeds: bytes, hashes: bytes, short: list[int]):
+    """Task code: of each document its number of words and its windows that may be the benchmark's.
+
+    A kept k-gram that passes the filter of seeds is extended to the windows that hold it; those
+    that pass the filter of whole windows go on, with their words.
+    """
+    kind = pa.list_(pa.struct([("hash", pa.int64()), ("start", pa.int32()), ("len", pa.int32()), ("window", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.unpackbits(np.frombuffer(slots, np.uint8)).astype(bool)
+        seeded, there = (np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in (seeds, hashes))
         mask = np.uint64(SLOTS - 1)
         for b in batches:
             sizes, found = [], []
@@ -132,35 +130,32 @@ def _seeds(slots: bytes, short: list[int], keep: list[str]):
                 sizes.append(n)
                 found.append(mine)
                 h = word_hashes(raw, starts, ends) if n else None
-                for length in short:
-                    if n >= length:
-                        grams = gram_hashes(h, length)
-                        for i in np.flatnonzero(there[grams & mask]).tolist():
-                            mine.append((int(_signed(grams[i : i + 1])[0]), length, i, i + length, 0, raw, starts, ends))
+
+                def add(whole: np.ndarray, at: np.ndarray, size: int) -> None:
+                    at = at[there[whole[at] & mask]]
+                    for i, x in zip(at.tolist(), _signed(whole[at]).tolist()):
+                        mine.append({"hash": x, "start": i, "len": size, "window": b" ".join(_TOKENS.findall(raw[starts[i] : ends[i + size - 1]]))})
+
+                for size in short:
+                    if n >= size:
+                        add(gram_hashes(h, size), np.arange(n - size + 1), size)
                 if n >= SPAN:
                     grams = gram_hashes(h, K)
                     at = winnow(grams)
-                    for i in at[there[grams[at] & mask]].tolist():
-                        mine.append((int(_signed(grams[i : i + 1])[0]), SPAN, max(0, i - SPAN + K), min(n, i + SPAN), i, raw, starts, ends))
-            rows = [[{"seed": s, "len": m, "from": a, "to": z, "at": i, "run": b" ".join(_TOKENS.findall(raw[starts[a] : ends[z - 1]]))} for s, m, a, z, i, raw, starts, ends in mine] for mine in found]
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(sizes, pa.int64()), pa.array(rows, seeded)], [*keep, "n_words", "seeds"])
+                    at = at[seeded[grams[at] & mask]]
+                    if len(at):
+                        around = np.unique(at[:, None] - np.arange(W))
+                        add(gram_hashes(h, SPAN), around[(around >= 0) & (around <= n - SPAN)], SPAN)
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sizes, pa.int64()), pa.array(found, kind)], ["key", "n_words", "windows"])
 
     return run
 
 
-def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Extends each met seed: compares the words and gives the document's words that the window covers."""
-    for b in batches:
-        run, window = b.column("run"), b.column("window")
-        keep, start = [], []
-        for i, (at, lo, off, length, r, w) in enumerate(zip(*(b.column(c).to_pylist() for c in ("at", "from", "off", "len")), run.to_pylist(), window.to_pylist())):
-            begin = at - off if length == SPAN else lo  # where the window would begin in the document
-            words = r.split(b" ")[begin - lo : begin - lo + length] if begin >= lo else []
-            if len(words) == length and b" ".join(words) == w:
-                keep.append(i)
-                start.append(begin)
-        some = b.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([some.column("row"), some.column("wid"), pa.array(start, pa.int32()), some.column("len")], ["row", "wid", "start", "len"])
+def _slots(hashes: DataFrame) -> bytes:
+    """A bit for each slot that a value of the column ``hash`` falls into; at most SLOTS numbers reach the driver."""
+    out = np.zeros(SLOTS, bool)
+    out[hashes.select(F.col("hash").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
+    return np.packbits(out).tobytes()
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -172,36 +167,32 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     windows; null item ids are ignored; repeated rows of either table are fine; empty tables
     are fine; other columns are ignored.
 
-    Both sides keep the least of each W k-gram hashes, so a shared window shares a seed. A
-    filter of fixed size drops the documents' seeds that no item has; the rest meet the
-    different windows of the benchmark in a join, are extended word by word, and only real
-    matches go on to their items.
+    Both sides keep the least of each W k-gram hashes, so a shared window shares a seed. Filters of
+    fixed size drop the documents' seeds, and then the windows around them, that no item has; the rest
+    meet the different windows of the benchmark in a join on the hash and the words, so that rows
+    are real matches: a phrase that many windows share doesn't multiply.
     """
-    spark = docs.sparkSession
     bench = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")).filter("item is not null")
     kind = dict(bench.dtypes)["item"]
-    windows = durable(bench.mapInArrow(_items, f"item {kind}, len int, seed long, at int, window binary"))
-    wid = F.sha2("window", 256)
-    seeds = durable(windows.select(wid.alias("wid"), "window", "seed", F.col("at").alias("off"), "len").dropDuplicates(["wid", "seed", "off"]))
-    slots = np.zeros(SLOTS, bool)
-    slots[seeds.select(F.col("seed").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
-    short = sorted(r[0] for r in seeds.filter(F.col("len") < SPAN).select("len").distinct().collect())  # at most SPAN - 1 values
+    owned = durable(bench.mapInArrow(_items, f"item {kind}, len int, hash long, seeds array<long>, window binary"))
+    windows = durable(owned.select("hash", "len", "window").distinct().withColumn("wid", F.monotonically_increasing_id()))
+    short = sorted(r[0] for r in windows.filter(F.col("len") < SPAN).select("len").distinct().collect())  # at most SPAN - 1 values
+    filters = _slots(owned.select(F.explode("seeds").alias("hash"))), _slots(windows)
 
     slim = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    inner = "array<struct<seed:long,len:int,from:int,to:int,at:int,run:binary>>"
-    scanned = slim.mapInArrow(_seeds(np.packbits(slots).tobytes(), short, ["key"]), f"key {dict(slim.dtypes)['key']}, n_words long, seeds {inner}")
+    inner = "array<struct<hash:long,start:int,len:int,window:binary>>"
+    scanned = slim.mapInArrow(_windows(*filters, short), f"key {dict(slim.dtypes)['key']}, n_words long, windows {inner}")
     scanned = durable(scanned.withColumn("row", F.monotonically_increasing_id()))
-    met = scanned.filter(F.size("seeds") > 0).select("row", F.explode("seeds").alias("x")).select("row", "x.*")
-    met = met.join(seeds.withColumnRenamed("seed", "s").withColumnRenamed("len", "l"), (F.col("seed") == F.col("s")) & (F.col("len") == F.col("l")))
-    matches = durable(met.select("row", "wid", "at", "from", "off", "len", "run", "window").mapInArrow(_matches, "row long, wid string, start int, len int"))
+    met = scanned.filter(F.size("windows") > 0).select("row", F.explode("windows").alias("x")).select("row", "x.hash", "x.start", "x.len", "x.window")
+    matches = durable(met.join(joinable(windows.drop("len")), ["hash", "window"]).select("row", "wid", "start", "len"))
     # Sorted intervals [start, end) are walked once; each adds what its predecessors don't cover.
     none = F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n"))
     step = lambda a, x: F.struct(F.greatest(a["to"], x["end"]).alias("to"), (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["to"], x["start"]))).alias("n"))
     cover = F.aggregate(F.array_sort("spans"), none, step, lambda a: a["n"])
     hits = matches.groupBy("row").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end"))).alias("spans")).select("row", cover.alias("n_hit"))
-    owners = windows.select(wid.alias("wid"), "item").distinct()
+    owners = owned.join(windows, ["hash", "window"]).select("wid", "item").distinct()
     items = matches.select("row", "wid").distinct().join(owners, "wid").groupBy("row").agg(F.collect_set(F.col("item").cast("string")).alias("items"))
-    found = durable(hits.join(items, "row"))
+    found = joinable(hits.join(items, "row"))
     whole = scanned.select("row", "key", "n_words").join(found, "row", "left")
     return whole.select(F.col("key").alias(key), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.array_sort(F.coalesce("items", F.array().cast("array<string>"))).alias("items"))
 
@@ -216,11 +207,14 @@ def digest(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", max_share: float = 0.0, **options) -> DataFrame:
     """``docs``, all columns, without the documents of which more than ``max_share`` of the words are hit.
 
-    Rows are told apart by key and text; rows with a null key are judged by their text alone.
+    Null texts stay, repeated rows are judged alike, an empty table of documents gives none, an empty
+    benchmark drops none. Rows are told apart by a 128-bit hash of key and text; those of the
+    dropped ones go to all tasks while they are at most a million (16 bytes each), and are joined by a shuffle beyond.
     """
-    k = unused(docs, "identity")
-    identity = F.sha2(F.concat_ws("\x00", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))), 256)
-    marked = docs.withColumn(k, identity)
-    found = find_contamination(marked, benchmark, key=k, text=text, **options)
-    bad = durable(found.filter((F.col("n_hit") > 0) & (F.col("n_hit") > max_share * F.col("n_words"))).select(k).distinct())
-    return marked.join(bad, k, "left_anti").select(*docs.columns)
+    a, b = unused(docs, "high"), unused(docs, "low")
+    row = (F.col(key).cast("string"), F.col(text))
+    marked = docs.select("*", F.xxhash64(F.lit("high"), *row).alias(a), F.xxhash64(F.lit("low"), *row).alias(b))
+    k = unused(marked, "identity")
+    found = find_contamination(marked.select(F.struct(a, b).alias(k), F.col(text)), benchmark, key=k, text=text, **options)
+    bad = joinable(found.filter((F.col("n_hit") > 0) & (F.col("n_hit") > max_share * F.col("n_words"))).select(f"{k}.*").distinct(), 1_000_000)
+    return marked.join(bad, [a, b], "left_anti").select(*docs.columns)

@@ -143,6 +143,7 @@ def _measured(docs: DataFrame, key: str, text: str, stratum: str) -> DataFrame:
 def _learned(measured: DataFrame, labels: DataFrame, policy: RiskPolicy) -> DataFrame:
     """Thresholds of the labelled documents; a document with any label other than 1 isn't good."""
     good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    good = joinable(good, 1_000_000)
     held = measured.join(good, F.col("key") == F.col("doc_id")).select("stratum", "good", *signals(F.col("c")))
     return joinable(thresholds(held, policy))
 
@@ -168,9 +169,19 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, policy: RiskPolicy = Ri
     return judged.select(F.col("key").alias(key), *[c[n].alias(n) for n in COUNTS], base_failed(c).alias("base_failed"), _kept(c, [F.col(f"max_{s}") for s in SIGNALS]).alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, policy: RiskPolicy = RiskPolicy(), key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """``docs``, all columns, without the rows that ``quality_verdicts`` rejects."""
-    learned = _learned(_measured(docs.join(labels.select(F.col("doc_id").alias(key)).distinct(), key, "left_semi"), key, text, stratum), labels, policy)
+def keep_good(docs: DataFrame, labels: DataFrame, policy: RiskPolicy = RiskPolicy(), key: str = "doc_id", text: str = "text", stratum: str = "lang", broadcast_keys: int = 1_000_000) -> DataFrame:
+    """``docs``, all columns, without the rows that ``quality_verdicts`` rejects, among them those with null or empty texts.
+
+    Repeated rows are judged alike, an empty table gives none, and columns keep their names whatever
+    they are. The thresholds need the counts of the labelled documents only: up to ``broadcast_keys``
+    labelled keys pick them out in the scan; beyond that the counts, not the texts, of all meet the labels.
+    """
+    keys = durable(labels.filter("doc_id is not null and quality is not null").select("doc_id").distinct())
+    if keys.limit(broadcast_keys + 1).count() <= broadcast_keys:
+        measured = _measured(docs.join(F.broadcast(keys.select(F.col("doc_id").alias(key))), key, "left_semi"), key, text, stratum)
+    else:
+        measured = _measured(docs, key, text, stratum)
+    learned = _learned(measured, labels, policy)
     c, level = unused(docs, "counts", learned), unused(docs, "stratum", learned)
     limits = {s: unused(docs, f"max_{s}") for s in SIGNALS}
     found = learned.select(F.col("stratum").alias(level), *[F.col(f"max_{s}").alias(n) for s, n in limits.items()])
