@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import io
 import math
 import random
 import re
@@ -461,8 +462,10 @@ def test_decontamination_equals_brute_force(spark):
 def test_warc_round_trip(spark, tmp_path):
     rows = [(i, f"http://h.org/{i}", f"<p>page {i % 7} é</p>" * 20) for i in range(60)] + [(100, None, None), (101, "u", ""), (None, "v", "<p>only</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    warc.write_warc(pages, str(tmp_path / "w"))
+    files = warc.write_warc(pages, str(tmp_path / "w"))
     got = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    (tmp_path / "w" / "part-left-by-a-lost-attempt.warc.zst").write_bytes(b"not an archive")
+    assert sorted(map(str, got)) == sorted(map(str, warc.read_warc(spark, files).collect()))
     bodies = {r.page_id: bytes(r.payload) for r in got if r.record_type == "response"}
     assert len(got) == len(rows)
     by_id = {r.page_id: r for r in got}
@@ -475,6 +478,28 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_warc_is_read_in_linear_time(tmp_path):
+    rng = random.Random(8)
+
+    def written(n):
+        made = warc.Archive(warc.opened(str(tmp_path))[0], str(tmp_path), f"n{n}", b"")
+        records = [warc.record(i, "u", (body := prose(rng, 40).encode()), warc.sha1_base32(body), None, False) for i in range(n)]
+        for r in records:
+            made.write(r)
+        return tmp_path / made.close(), records
+
+    took = []
+    for n in (2_000, 16_000):
+        path, records = written(n)
+        began = time.perf_counter()
+        with path.open("rb") as source:
+            assert list(warc.frames(source)) == records
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0] + 0.1
+    with pytest.raises(ValueError):
+        list(warc.frames(io.BytesIO(path.read_bytes()[:-5])))
+
+
 # ---- 9 and 10: their SQL holds the queries; here the parts that SQL checks on plain rows only ------
 def test_quality_awkward_rows(spark):
     labels = spark.createDataFrame([(4, 1, 0), (5, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
