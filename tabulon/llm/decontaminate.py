@@ -26,7 +26,7 @@ _P, _PINV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1,
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M1
     x = (x ^ (x >> np.uint64(27))) * _M2
     return x ^ (x >> np.uint64(31))
@@ -65,7 +65,7 @@ def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit polynomial hash of each word, as differences of one running sum."""
     up, down = _POWERS.upto(len(raw) + 1)
     total = np.concatenate(([np.uint64(0)], np.cumsum((np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)))
-    return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -73,7 +73,7 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     out = np.zeros(max(n, 0), np.uint64)
     for i in range(k if n > 0 else 0):
-        out = _mix(out * _P + h[i : i + n])
+        out = mix(out * _P + h[i : i + n])
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -12,8 +13,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, unused
+from .common import durable, joinable, unused
 from .components import connected_components
+from .decontaminate import gram_hashes, lowered, mix, word_hashes, word_spans
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -144,21 +146,149 @@ def near_duplicates(docs: DataFrame, distance: int = 3, segments: int = 2, dense
     return marked.join(named, "fp").select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, **options) -> DataFrame:
-    """``docs``, all columns, with one document of each near-duplicate group: that with the smallest key.
+# ---- near copies by Jaccard similarity -------------------------------------------------------------
+#: A wide fingerprint: 64 bits, and SEGMENTS segments of WIDTH bits for the multi-index search.
+WIDTH, SEGMENTS = 24, 32
+_WORDS = WIDTH * SEGMENTS // 64
+BITS = 64 * (1 + _WORDS)
+_SALTS = (np.arange(1 + _WORDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+_SPACES = np.ones(256, bool)
+_SPACES[[0x20, *range(0x09, 0x0E)]] = False
 
-    Rows with a null key stay. Of rows that repeat both key and fingerprint one stays.
+
+def shingles(text: str | None, size: int = 5) -> np.ndarray:
+    """Hashes of the different runs of ``size`` words of a text, sorted; of all its words if there are fewer; none for null or blank."""
+    raw = lowered(text)
+    starts, ends = word_spans(raw, _SPACES)
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    return np.unique(gram_hashes(word_hashes(raw, starts, ends), min(size, len(starts))))
+
+
+def wide_fingerprint(grams: np.ndarray) -> tuple[int, list[int]]:
+    """(64 bits as a signed number, SEGMENTS numbers of WIDTH bits): each bit is set if it is in over half of the shingles' hashes."""
+    counts, n = np.zeros(BITS, np.int64), len(grams)
+    for at in range(0, n, 255):  # counts of 255 hashes fit a byte
+        mixed = mix(grams[at : at + 255, None] ^ _SALTS)
+        counts += np.unpackbits(mixed.astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    bits = 2 * counts > n
+    first = int(np.packbits(bits[:64]).view(">u8")[0])
+    return _signed(first), (bits[64:].reshape(SEGMENTS, WIDTH) @ (1 << np.arange(WIDTH)[::-1])).tolist()
+
+
+def differing(similarity: float, deviations: float) -> int:
+    """Bits of BITS in which shingle sets of a Jaccard similarity differ, so many standard deviations from the mean.
+
+    Bits differ with the angle between the sets' indicator vectors over pi, whose cosine is, for sets of like size, 2 s / (1 + s).
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(BITS * p + deviations * math.sqrt(BITS * p * (1 - p)))
+
+
+def _wide(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` (key, id, text) as (key, id, fp, wide)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [wide_fingerprint(shingles(t.as_py(), size)) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array([f for f, _ in found], pa.int64()), pa.array([w for _, w in found], pa.list_(pa.int32()))], ["key", "id", "fp", "wide"])
+
+    types = dict(docs.dtypes)
+    return docs.mapInArrow(scan, f"key {types['key']}, id long, fp long, wide array<int>")
+
+
+def _grams(texts: DataFrame, size: int) -> DataFrame:
+    """``texts`` (fp, text) as (fp, grams)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(t.as_py(), size).view(np.int64) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(found, pa.list_(pa.int64()))], ["fp", "grams"])
+
+    return texts.mapInArrow(scan, "fp long, grams array<long>")
+
+
+def wide_candidates(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Pairs (u, v, distance) of ``nodes`` (fp, wide) that a multi-index search finds not to differ in too many bits.
+
+    Each node is put into one table per segment and probes it with the ball of radius 1 around
+    its own segment; a pair in question agrees that far in one of them with probability 0.97 at
+    similarity 0.8, 0.997 at 0.85. What is fetched is verified, first by its 64 bits inside the join, then by all BITS.
+    """
+    at = F.col("s").cast("long") * (1 << WIDTH)
+    cells = nodes.select("fp", F.posexplode("wide").alias("s", "x"))
+    table = cells.select((at + F.col("x")).alias("k"), F.col("fp").alias("other"))
+    ball = F.array(F.lit(0), *[F.lit(1 << i) for i in range(WIDTH)])
+    # A bit is only ever added, so that two nodes that differ in one meet from one side.
+    probes = cells.select("fp", (at + F.col("x")).alias("k"), F.explode(F.filter(ball, lambda m: F.col("x").bitwiseAND(m) == 0)).alias("m")).select("fp", (F.col("k") + F.col("m")).alias("k"))
+    p = differing(similarity, 4) / BITS
+    near = F.bit_count(F.expr("fp ^ other")) <= round(64 * p + 4 * math.sqrt(64 * p * (1 - p)))
+    met = probes.join(table, "k").filter((F.col("fp") != F.col("other")) & near)
+    pairs = met.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
+    mine = nodes.select(F.col("fp").alias("u"), F.col("wide").alias("a"))
+    pairs = pairs.join(mine, "u").join(mine.select(F.col("u").alias("v"), F.col("a").alias("b")), "v")
+    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d) + F.bit_count(F.expr("u ^ v"))
+    return pairs.select("u", "v", apart.alias("distance")).filter(F.col("distance") <= differing(similarity, 4))
+
+
+def similar_components(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
+    """(node, label) of the ``nodes`` (fp, wide) with others of at least ``similarity``: label is the least that links reach.
+
+    Pairs so near that only a similarity well above the limit explains it are links; of the others only those
+    that would join different components are verified by the Jaccard similarity of their shingles,
+    which are taken from ``texts`` (fp, text). So a group of many copies costs no more than its search.
+    """
+    pairs = durable(wide_candidates(nodes, similarity))
+    sure = pairs.filter(F.col("distance") <= differing(similarity, -4)).select("u", "v")
+    label = durable(connected_components(sure))
+    named = lambda end: label.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+    doubtful = pairs.filter(F.col("distance") > differing(similarity, -4)).join(named("u"), "u", "left").join(named("v"), "v", "left")
+    doubtful = durable(doubtful.filter(F.coalesce("label_u", "u") != F.coalesce("label_v", "v")).select("u", "v"))
+    if doubtful.isEmpty():
+        return label
+    some = joinable(doubtful.select(F.col("u").alias("fp")).union(doubtful.select("v")).distinct(), 1_000_000)
+    grams = durable(_grams(texts.join(some, "fp"), size).dropDuplicates(["fp"]))
+    both = doubtful.join(grams.select(F.col("fp").alias("u"), F.col("grams").alias("a")), "u").join(grams.select(F.col("fp").alias("v"), F.col("grams").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    real = both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    return connected_components(sure.union(real))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, size: int = 5) -> DataFrame:
+    """``docs``, all columns, with one document of each group of near copies: that with the smallest key.
+
+    Two steps, both by multi-index search among SimHash fingerprints of ``size``-word shingles. First, documents linked by
+    at most 3 differing bits of 64 (``links``) leave one each, so that large groups of all but equal
+    documents shrink to a few. Second, of the documents left, those linked by a Jaccard similarity of
+    at least ``similarity`` (``similar_components``) leave one each.
+
+    Null, empty and blank texts are copies of each other. Rows with a null key stay. Of rows that
+    repeat both key and text one stays, the least by its columns. An empty table gives none;
+    columns keep their names whatever they are. Texts are read, not moved: the dropped rows' keys and 64-bit
+    text hashes go to all tasks while they are at most a million, and are joined by a shuffle beyond.
     """
-    found = near_duplicates(docs, key=key, text=text, size=size, **options)
-    fp = unused(docs, "fp")
-    pairs = found.select(F.col(key), F.conv("fingerprint", 16, -10).cast("long").alias(fp), "component_id").filter(F.col(key).isNotNull())
-    pairs = durable(pairs.groupBy(key, fp).agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
-    whole = docs.select(*docs.columns, F.col(text).alias("_text_of_fp")) if "_text_of_fp" not in docs.columns else docs
-    marked = fingerprints(whole, "_text_of_fp", fp, size)
-    rest = pairs.filter(F.col(key) != F.col("component_id")).select(key, fp)
-    kept = marked.join(rest, [key, fp], "left_anti")
-    again = pairs.filter((F.col(key) == F.col("component_id")) & (F.col("n") > 1)).select(key, fp)
+    slim = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("id"), F.col(text).alias("text")).filter("key is not null")
+    rows = durable(_wide(slim, size).groupBy("key", "id").agg(F.count("*").alias("n"), F.min("fp").alias("fp"), F.min("wide").alias("wide")))
+    nodes = durable(rows.groupBy("fp").agg(F.min(F.struct("key", "id")).alias("least"), F.min("wide").alias("wide")))
+
+    def survivors(of: DataFrame, label: DataFrame) -> DataFrame:
+        label = of.join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        first = label.groupBy("label").agg(F.min(F.struct("least", "fp")).alias("x")).select(F.col("x.fp").alias("fp"))
+        return durable(of.join(first, "fp", "left_semi"))
+
+    nodes = survivors(nodes, connected_components(links(nodes.select("fp"))))
+    ids = joinable(nodes.select("least.key", "least.id", "fp"), 1_000_000)
+    nodes = survivors(nodes, similar_components(nodes, slim.join(ids, ["key", "id"]).select("fp", "text"), similarity, size))
+    kept = nodes.select("least.key", "least.id").withColumn("kept", F.lit(True))
+    judged = durable(rows.select("key", "id", "n").join(kept, ["key", "id"], "left").filter("kept is null or n > 1"))
+
+    k, i = unused(docs, "key"), unused(docs, "id")
+    named = lambda df: df.select(F.col("key").alias(k), F.col("id").alias(i))
+    marked = docs.select("*", F.col(key).alias(k), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias(i))
+    left = marked.join(joinable(named(judged), 1_000_000), [k, i], "left_anti")
+    again = judged.filter("kept")
     if not again.isEmpty():
-        once = kept.join(again, [key, fp], "left_semi").dropDuplicates([key, fp])
-        kept = kept.join(again, [key, fp], "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+        repeated = marked.join(joinable(named(again), 1_000_000), [k, i], "left_semi")
+        least = F.first if "map<" in docs.schema.simpleString() else F.min
+        left = left.unionByName(repeated.groupBy(k, i).agg(least(F.struct(*docs.columns)).alias("row")).select(k, i, "row.*"))
+    return left.select(*docs.columns)

@@ -6,6 +6,7 @@ import pytest
 import corpus_pipeline
 from tabulon.llm import queries
 from tabulon.llm.common import table
+from tests.llm.test_operators import brute_kept
 from tests.test_queries import TABLES, rows
 
 SF = "/root/testdata/sf0.01"
@@ -22,12 +23,12 @@ def test_equals_sql(spark, name):
 
 
 def test_pipeline_equals_its_operators(spark):
-    from tabulon.llm import decontaminate, mixing, quality, secrets, simhash
+    from tabulon.llm import decontaminate, mixing, quality, secrets
 
     docs = table(spark, SF, "documents")
     kept = {r.doc_id for r in quality.quality_verdicts(docs, table(spark, SF, "labels")).filter("kept").select("doc_id").collect()}
     left = docs.filter(docs.doc_id.isin(*kept))
-    kept = {r.component_id for r in simhash.near_duplicates(left).collect()}
+    kept = brute_kept([(r.doc_id, r.text) for r in left.collect()])
     left = docs.filter(docs.doc_id.isin(*kept))
     kept = {r.doc_id for r in decontaminate.digest(left, table(spark, SF, "benchmark")).filter("not contaminated").collect()}
     left = docs.filter(docs.doc_id.isin(*kept))
