@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash near-duplicate group, the one with the smallest doc_id."""
+    """Keeps one document of each group of near copies (five-word similarity of 0.8 or more), the one with the smallest doc_id."""
     return keep_one(docs)
 
 
