@@ -208,50 +208,80 @@ def _grams(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(scan, "fp long, grams array<long>")
 
 
-def wide_candidates(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Pairs (u, v, distance) of ``nodes`` (fp, wide) that a multi-index search finds not to differ in too many bits.
+def _cells(nodes: DataFrame) -> DataFrame:
+    """(k, x, fp, label) of each segment of ``nodes`` (fp, wide, label): k numbers segment and value, x is the value."""
+    return nodes.select("fp", "label", F.posexplode("wide").alias("s", "x")).select((F.col("s").cast("long") * (1 << WIDTH) + F.col("x")).alias("k"), "x", "fp", "label")
 
-    Each node is put into one table per segment and probes it with the ball of radius 1 around
-    its own segment; a pair in question agrees that far in one of them with probability 0.97 at
-    similarity 0.8, 0.997 at 0.85. What is fetched is verified, first by its 64 bits inside the join, then by all BITS.
-    """
-    at = F.col("s").cast("long") * (1 << WIDTH)
-    cells = nodes.select("fp", F.posexplode("wide").alias("s", "x"))
-    table = cells.select((at + F.col("x")).alias("k"), F.col("fp").alias("other"))
-    ball = F.array(F.lit(0), *[F.lit(1 << i) for i in range(WIDTH)])
-    # A bit is only ever added, so that two nodes that differ in one meet from one side.
-    probes = cells.select("fp", (at + F.col("x")).alias("k"), F.explode(F.filter(ball, lambda m: F.col("x").bitwiseAND(m) == 0)).alias("m")).select("fp", (F.col("k") + F.col("m")).alias("k"))
-    p = differing(similarity, 4) / BITS
-    near = F.bit_count(F.expr("fp ^ other")) <= round(64 * p + 4 * math.sqrt(64 * p * (1 - p)))
-    met = probes.join(table, "k").filter((F.col("fp") != F.col("other")) & near)
-    pairs = met.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
-    mine = nodes.select(F.col("fp").alias("u"), F.col("wide").alias("a"))
-    pairs = pairs.join(mine, "u").join(mine.select(F.col("u").alias("v"), F.col("a").alias("b")), "v")
-    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d) + F.bit_count(F.expr("u ^ v"))
-    return pairs.select("u", "v", apart.alias("distance")).filter(F.col("distance") <= differing(similarity, 4))
 
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Of the pairs (u, v) of ``nodes``, links (u, v) that join all of them that are of at least ``similarity``.
 
-def similar_components(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
-    """(node, label) of the ``nodes`` (fp, wide) with others of at least ``similarity``: label is the least that links reach.
-
-    Pairs so near that only a similarity well above the limit explains it are links; of the others only those
-    that would join different components are verified by the Jaccard similarity of their shingles,
-    which are taken from ``texts`` (fp, text). So a group of many copies costs no more than its search.
+    Pairs that differ in so few bits that only a similarity well above the limit explains it are links; of
+    those in doubt only the ones that would join different components are verified by the Jaccard similarity of their shingles.
     """
-    pairs = durable(wide_candidates(nodes, similarity))
-    sure = pairs.filter(F.col("distance") <= differing(similarity, -4)).select("u", "v")
+    mine = nodes.select(F.col("fp").alias("u"), F.col("wide").alias("a"))
+    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d) + F.bit_count(F.expr("u ^ v"))
+    met = pairs.join(mine, "u").join(mine.select(F.col("u").alias("v"), F.col("a").alias("b")), "v").select("u", "v", apart.alias("distance"))
+    met = durable(met.filter(F.col("distance") <= differing(similarity, 4)))
+    sure = met.filter(F.col("distance") <= differing(similarity, -4)).select("u", "v")
     label = durable(connected_components(sure))
     named = lambda end: label.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
-    doubtful = pairs.filter(F.col("distance") > differing(similarity, -4)).join(named("u"), "u", "left").join(named("v"), "v", "left")
+    doubtful = met.filter(F.col("distance") > differing(similarity, -4)).join(named("u"), "u", "left").join(named("v"), "v", "left")
     doubtful = durable(doubtful.filter(F.coalesce("label_u", "u") != F.coalesce("label_v", "v")).select("u", "v"))
     if doubtful.isEmpty():
-        return label
+        return sure
     some = joinable(doubtful.select(F.col("u").alias("fp")).union(doubtful.select("v")).distinct(), 1_000_000)
     grams = durable(_grams(texts.join(some, "fp"), size).dropDuplicates(["fp"]))
     both = doubtful.join(grams.select(F.col("fp").alias("u"), F.col("grams").alias("a")), "u").join(grams.select(F.col("fp").alias("v"), F.col("grams").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
-    real = both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
-    return connected_components(sure.union(real))
+    return durable(sure.union(both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")))
+
+
+def central_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of each node with the most central one in each cell it shares with others: that whose own cells are fullest."""
+    cells = _cells(nodes).select("k", "fp")
+    full = cells.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = durable(cells.join(full, "k"))
+    weight = shared.groupBy("fp").agg(F.sum("n").alias("weight"))
+    centre = shared.join(weight, "fp").groupBy("k").agg(F.max(F.struct("weight", "fp")).alias("x")).select("k", F.col("x.fp").alias("centre"))
+    return shared.join(centre, "k").filter("fp <> centre").select(F.least("fp", "centre").alias("u"), F.greatest("fp", "centre").alias("v")).distinct()
+
+
+def crossing_pairs(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Pairs (u, v) of ``nodes`` (fp, wide, label) of different labels that a multi-index search finds near each other.
+
+    Each node is put into one table per segment and probes it with the ball of radius 1 around
+    its own segment; two nodes agree that far in one of them with probability 0.97 at
+    similarity 0.8, 0.997 at 0.85. A probe goes on only if its cell holds another label, and
+    meets only the members with other labels, so what is linked already costs nothing more.
+    What is fetched is verified by its 64 bits.
+    """
+    cells = _cells(nodes)
+    table = cells.select("k", F.col("fp").alias("other"), F.col("label").alias("theirs"))
+    # A bit is only ever added, so that two nodes that differ in one meet from one side.
+    ball = F.array(F.lit(0), *[F.lit(1 << i) for i in range(WIDTH)])
+    probes = cells.select("fp", "label", "k", F.explode(F.filter(ball, lambda m: F.col("x").bitwiseAND(m) == 0)).alias("m")).select((F.col("k") + F.col("m")).alias("k"), "fp", "label")
+    inside = table.groupBy("k").agg(F.min("theirs").alias("low"), F.max("theirs").alias("high"))
+    mixed = durable(probes.join(inside, "k").filter((F.col("low") != F.col("label")) | (F.col("high") != F.col("label"))).select("k", "fp", "label"))
+    met = durable(table.join(mixed.select("k").distinct(), "k"))
+    ways = mixed.select("k", "label").distinct().join(met.select("k", "theirs").distinct(), "k").filter("label <> theirs")
+    p = differing(similarity, 4) / BITS
+    near = F.bit_count(F.expr("fp ^ other")) <= round(64 * p + 4 * math.sqrt(64 * p * (1 - p)))
+    found = mixed.join(ways, ["k", "label"]).join(met, ["k", "theirs"]).filter(near)
+    return found.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
+
+
+def similar_components(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
+    """(node, label) of the ``nodes`` (fp, wide) with others of at least ``similarity``: label is the least that links reach.
+
+    First each node meets the central ones of its cells only, which joins most of a large group by as many rows
+    as it has members; then nodes of different components meet by the full search. ``texts`` (fp, text) holds
+    the nodes' texts.
+    """
+    label = lambda found: nodes.join(found.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    central = _verified(central_pairs(nodes.withColumn("label", F.col("fp"))), nodes, texts, similarity, size)
+    joined = durable(label(connected_components(central)))
+    return connected_components(central.union(_verified(crossing_pairs(joined, similarity), nodes, texts, similarity, size)))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, size: int = 5) -> DataFrame:
