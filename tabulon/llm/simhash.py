@@ -209,8 +209,14 @@ def _grams(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _cells(nodes: DataFrame) -> DataFrame:
-    """(k, x, fp, label) of each segment of ``nodes`` (fp, wide, label): k numbers segment and value, x is the value."""
-    return nodes.select("fp", "label", F.posexplode("wide").alias("s", "x")).select((F.col("s").cast("long") * (1 << WIDTH) + F.col("x")).alias("k"), "x", "fp", "label")
+    """(k, x, fp) of each segment of ``nodes`` (fp, wide): k numbers segment and value, x is the value."""
+    return nodes.select("fp", F.posexplode("wide").alias("s", "x")).select((F.col("s").cast("long") * (1 << WIDTH) + F.col("x")).alias("k"), "x", "fp")
+
+
+def _shared(nodes: DataFrame) -> DataFrame:
+    """(k, fp, n) of the cells that n > 1 ``nodes`` (fp, wide) are in."""
+    cells = _cells(nodes).select("k", "fp")
+    return durable(cells.join(joinable(cells.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1"), 1_000_000), "k"))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
@@ -237,37 +243,37 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity:
     return durable(sure.union(both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")))
 
 
-def central_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of each node with the most central one in each cell it shares with others: that whose own cells are fullest."""
-    cells = _cells(nodes).select("k", "fp")
-    full = cells.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = durable(cells.join(full, "k"))
+def central_pairs(shared: DataFrame) -> DataFrame:
+    """Pairs (u, v) of each node with the most central one in each cell it shares with others (``_shared``): that whose own cells are fullest."""
     weight = shared.groupBy("fp").agg(F.sum("n").alias("weight"))
     centre = shared.join(weight, "fp").groupBy("k").agg(F.max(F.struct("weight", "fp")).alias("x")).select("k", F.col("x.fp").alias("centre"))
     return shared.join(centre, "k").filter("fp <> centre").select(F.least("fp", "centre").alias("u"), F.greatest("fp", "centre").alias("v")).distinct()
 
 
-def crossing_pairs(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Pairs (u, v) of ``nodes`` (fp, wide, label) of different labels that a multi-index search finds near each other.
+def crossing_pairs(nodes: DataFrame, shared: DataFrame, labels: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Pairs (u, v) of ``nodes`` (fp, wide) of different ``labels`` (node, label) that a multi-index search finds near each other.
 
     Each node is put into one table per segment and probes it with the ball of radius 1 around
     its own segment; two nodes agree that far in one of them with probability 0.97 at
-    similarity 0.8, 0.997 at 0.85. A probe goes on only if its cell holds another label, and
-    meets only the members with other labels, so what is linked already costs nothing more.
-    What is fetched is verified by its 64 bits.
+    similarity 0.8, 0.997 at 0.85. A probe that meets a single node is verified by its 64 bits at once;
+    one of a cell of several meets only its members with other labels, so what is linked already costs nothing more.
+    Nodes without a label are their own; ``shared`` is what ``_shared`` gives of them.
     """
-    cells = _cells(nodes)
-    table = cells.select("k", F.col("fp").alias("other"), F.col("label").alias("theirs"))
-    # A bit is only ever added, so that two nodes that differ in one meet from one side.
-    ball = F.array(F.lit(0), *[F.lit(1 << i) for i in range(WIDTH)])
-    probes = cells.select("fp", "label", "k", F.explode(F.filter(ball, lambda m: F.col("x").bitwiseAND(m) == 0)).alias("m")).select((F.col("k") + F.col("m")).alias("k"), "fp", "label")
-    inside = table.groupBy("k").agg(F.min("theirs").alias("low"), F.max("theirs").alias("high"))
-    mixed = durable(probes.join(inside, "k").filter((F.col("low") != F.col("label")) | (F.col("high") != F.col("label"))).select("k", "fp", "label"))
-    met = durable(table.join(mixed.select("k").distinct(), "k"))
-    ways = mixed.select("k", "label").distinct().join(met.select("k", "theirs").distinct(), "k").filter("label <> theirs")
     p = differing(similarity, 4) / BITS
-    near = F.bit_count(F.expr("fp ^ other")) <= round(64 * p + 4 * math.sqrt(64 * p * (1 - p)))
-    found = mixed.join(ways, ["k", "label"]).join(met, ["k", "theirs"]).filter(near)
+    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= round(64 * p + 4 * math.sqrt(64 * p * (1 - p)))
+    cells = _cells(nodes)
+    table = cells.select("k", "fp")
+    # A bit is only ever added, so that two nodes that differ in one meet from one side; equal segments are in ``shared``.
+    flips = F.filter(F.array(*[F.lit(1 << i) for i in range(WIDTH)]), lambda m: F.col("x").bitwiseAND(m) == 0)
+    probes = cells.select("fp", "k", F.explode(flips).alias("m")).select((F.col("k") + F.col("m")).alias("k"), "fp")
+    inside = table.groupBy("k").agg(F.min("fp").alias("first"), F.count("*").alias("n"))
+    hits = durable(probes.join(inside, "k").filter((F.col("n") > 1) | near(F.col("fp"), F.col("first"))).select("k", "fp"))
+    labels = joinable(labels.select(F.col("node").alias("fp"), "label"), 1_000_000)
+    named = lambda rows: rows.join(labels, "fp", "left").select("k", "fp", F.coalesce("label", "fp").alias("label"))
+    mine = durable(named(hits.union(shared.select("k", "fp"))))
+    theirs = durable(named(table.join(joinable(mine.select("k").distinct(), 1_000_000), "k"))).withColumnRenamed("fp", "other").withColumnRenamed("label", "theirs")
+    ways = mine.select("k", "label").distinct().join(theirs.select("k", "theirs").distinct(), "k").filter("label <> theirs")
+    found = mine.join(ways, ["k", "label"]).join(theirs, ["k", "theirs"]).filter(near(F.col("fp"), F.col("other")))
     return found.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
 
 
@@ -278,10 +284,10 @@ def similar_components(nodes: DataFrame, texts: DataFrame, similarity: float = 0
     as it has members; then nodes of different components meet by the full search. ``texts`` (fp, text) holds
     the nodes' texts.
     """
-    label = lambda found: nodes.join(found.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    central = _verified(central_pairs(nodes.withColumn("label", F.col("fp"))), nodes, texts, similarity, size)
-    joined = durable(label(connected_components(central)))
-    return connected_components(central.union(_verified(crossing_pairs(joined, similarity), nodes, texts, similarity, size)))
+    shared = _shared(nodes)
+    central = _verified(central_pairs(shared), nodes, texts, similarity, size)
+    labels = durable(connected_components(central))
+    return connected_components(central.union(_verified(crossing_pairs(nodes, shared, labels, similarity), nodes, texts, similarity, size)))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, size: int = 5) -> DataFrame:
