@@ -72,4 +72,4 @@ def grouped(name: str, source: str, by: list[str], items: dict, digits: int = 4)
 
 flagship = "groupby_flag_status"
 
-from . import catalog, tables  # noqa: E402, F401
+from . import catalog, closed_forms, tables  # noqa: E402, F401
