@@ -156,29 +156,19 @@ def db(cost, salvage, life, period, month):
     p, m = truncated(period), truncated(month)
     rate = F.when(cost == 0, 0.0).otherwise(F.floor((1 - F.pow(F.try_divide(salvage, cost), F.try_divide(F.lit(1.0), life))) * 1000 + 0.5) / 1000)
     first = cost * rate * m / 12
-    start = F.struct(first.alias("total"), first.alias("now"))
-
-    def step(a, i):
-        now = F.when(i == life + 1, (cost - a["total"]) * rate * (12 - m) / 12).otherwise((cost - a["total"]) * rate)
-        return F.struct((a["total"] + now).alias("total"), now.alias("now"))
-
-    steps = F.when(p >= 2, F.sequence(F.lit(2), F.least(p, F.lit(10000.0)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    later = (cost - first) * F.pow(1 - rate, p - 2) * rate * F.when(p == life + 1, (12 - m) / 12).otherwise(1.0)
     wrong = (cost < 0) | (salvage < 0) | (life <= 0) | (p < 1) | (m < 1) | (m > 12) | (p > life + F.when(m < 12, 1).otherwise(0))
-    return finite(F.aggregate(steps, start, step, lambda a: a["now"]), (wrong, "#NUM!"))
+    return finite(F.when(p >= 2, later).otherwise(first), (wrong, "#NUM!"))
 
 
 @function("DDB", "n n n n n=2")
 def ddb(cost, salvage, life, period, factor):
+    """The book value falls by a constant factor a period until it meets the salvage value."""
     p = truncated(period)
     rate = F.least(F.try_divide(factor, life), F.lit(1.0))
-    start = F.struct(cost.alias("book"), F.lit(0.0).alias("now"))
-
-    def step(a, _):
-        now = F.greatest(F.least(a["book"] * rate, a["book"] - salvage), F.lit(0.0))
-        return F.struct((a["book"] - now).alias("book"), now.alias("now"))
-
+    book = F.greatest(cost * F.pow(1 - rate, p - 1), F.least(cost, salvage))
     wrong = (cost < 0) | (salvage < 0) | (life <= 0) | (p < 1) | (p > life) | (factor <= 0)
-    return finite(F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(p, F.lit(10000.0)), F.lit(1.0)).cast("int")), start, step, lambda a: a["now"]), (wrong, "#NUM!"))
+    return finite(F.greatest(F.least(book * rate, book - salvage), F.lit(0.0)), (wrong, "#NUM!"))
 
 
 @function("VDB", "n n n n n n=2 l=false")
@@ -194,7 +184,7 @@ def vdb(cost, salvage, life, begin, end, factor, no_switch):
         share = F.greatest(F.least(end, i) - F.greatest(begin, i - 1), F.lit(0.0))
         return F.struct((a["book"] - now).alias("book"), (a["sum"] + now * share).alias("sum"))
 
-    last = F.greatest(F.least(F.ceil(end), F.lit(10000)), F.lit(1)).cast("int")
+    last = F.greatest(F.ceil(end), F.lit(1)).cast("int")
     wrong = (cost < 0) | (salvage < 0) | (life <= 0) | (begin < 0) | (end < begin) | (end > life) | (factor <= 0)
     return finite(F.aggregate(F.sequence(F.lit(1), last), start, lambda a, i: step(a, i.cast("double")), lambda a: a["sum"]), (wrong, "#NUM!"))
 
@@ -228,8 +218,8 @@ def amordegrc(cost, bought, first, salvage, period, rate, basis):
         got = F.when(a["over"], 0.0).when(short, last).otherwise(now)
         return F.struct((a["book"] - got).alias("book"), rest.alias("rest"), got.alias("now"), (a["over"] | short).alias("over"))
 
-    steps = F.when(p >= 1, F.sequence(F.lit(1), F.least(p, F.lit(1000.0)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return finite(F.aggregate(steps, start, step, lambda a: a["now"]), ((cost < 0) | (rate <= 0) | (p < 0) | (bought > first), "#NUM!"))
+    steps = F.when(p >= 1, F.sequence(F.lit(1), p.cast("int"))).otherwise(F.array().cast("array<int>"))
+    return finite(F.aggregate(steps, start, step, lambda a: a["now"]), ((cost <= 0) | (rate <= 0) | (p < 0) | (bought > first) | (basis == 2), "#NUM!"))
 
 
 def _discounted(name: str, f, *wrong) -> None:

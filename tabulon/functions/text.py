@@ -378,7 +378,7 @@ def encodeurl(s):
 
 
 #: Script ranges and the language each stands for.
-SCRIPTS = [(r"[぀-ヿ]", "ja"), (r"[가-힯]", "ko"), (r"[一-鿿]", "zh"), (r"[Ѐ-ӿ]", "ru"), (r"[؀-ۿ]", "ar"), (r"[֐-׿]", "he"), (r"[฀-๿]", "th"), (r"[ऀ-ॿ]", "hi"), (r"[Ͱ-Ͽ]", "el")]
+SCRIPTS = [(r"[가-힯]", "ko"), (r"[぀-ヿ]", "ja"), (r"[一-鿿]", "zh"), (r"[Ѐ-ӿ]", "ru"), (r"[؀-ۿ]", "ar"), (r"[֐-׿]", "he"), (r"[฀-๿]", "th"), (r"[ऀ-ॿ]", "hi"), (r"[Ͱ-Ͽ]", "el")]
 
 
 @function("DETECTLANGUAGE", "t")

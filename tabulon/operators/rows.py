@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 from tabulon.functions.core import as_text
 
 NA = "#N/A"
+#: The texts of error cells.
+ERRORS = ("#NULL!", "#DIV/0!", "#VALUE!", "#REF!", "#NAME?", "#NUM!", NA, "#SPILL!", "#CALC!")
 
 
 class Calc(ValueError):
@@ -27,8 +29,12 @@ class Calc(ValueError):
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written once to the session's checkpoint folder, so that later reads agree and survive lost executors."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabulon-"))
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tabulon-"))
     return df.checkpoint(eager=True)
 
 
@@ -46,10 +52,11 @@ def as_keys(order: Sequence) -> list[Column]:
 def prefixed(df: DataFrame, order: Sequence, sums: dict[str, Column], strict: bool = False) -> DataFrame:
     """Adds running sums in the order of ``order``: up to each row, or with ``strict`` before it.
 
-    Rows that tie in ``order`` are put in an arbitrary but fixed order.
+    Rows that tie in ``order`` are put in an arbitrary but fixed order; a random last key spreads them
+    over partitions, however many tie.
     """
     part = name_for(df, "_part")
-    sort = as_keys(order)
+    sort = [*as_keys(order), F.rand(11)]
     values = {n: name_for(df, f"_v_{n}") for n in sums}
     dealt = df.select("*", *[c.alias(values[n]) for n, c in sums.items()])
     dealt = dealt.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn(part, F.spark_partition_id()).withColumn(f"{part}n", F.monotonically_increasing_id())
@@ -75,9 +82,15 @@ def running_total(df: DataFrame, order: Sequence, value: str, name: str, partiti
 
 
 def filtered(df: DataFrame, include: Column, if_empty: DataFrame | None = None) -> DataFrame:
-    """FILTER: rows whose mask is true; blank is false. Nothing left gives ``if_empty``, whose schema is the same, or #CALC!."""
-    out = df.filter(F.coalesce(include.cast("boolean"), F.lit(False)))
+    """FILTER: rows whose mask is true; blank is false, a text that is no logical #VALUE!. Nothing left gives ``if_empty``, whose schema is the same, or #CALC!."""
+    if dict(df.select(include.alias("mask")).dtypes)["mask"] == "string":
+        wrong = include.isNotNull() & include.try_cast("boolean").isNull()
+        if not df.filter(wrong).isEmpty():
+            raise Calc("#VALUE!")
+    out = df.filter(F.coalesce(include.try_cast("boolean"), F.lit(False)))
     if if_empty is None:
+        if out.isEmpty():
+            raise Calc("#CALC!")
         return out
     return out.unionByName(if_empty.join(out.limit(1).select(F.lit(1).alias("_any")), F.lit(True), "left_anti"))
 
@@ -120,9 +133,12 @@ def taken(df: DataFrame, n: int, *order) -> DataFrame:
 
 
 def dropped(df: DataFrame, n: int, *order) -> DataFrame:
-    """DROP: without the first ``n`` rows, or the last -n."""
+    """DROP: without the first ``n`` rows, or the last -n. Nothing left is #CALC!."""
     rows = numbered(df, *(order if n >= 0 else [k.desc() for k in as_keys(order)]), name="_row")
-    return rows.filter(F.col("_row") > abs(n)).drop("_row")
+    out = rows.filter(F.col("_row") > abs(n)).drop("_row")
+    if out.isEmpty():
+        raise Calc("#CALC!")
+    return out
 
 
 def chosen_columns(df: DataFrame, *indexes: int) -> DataFrame:
@@ -198,12 +214,14 @@ def vstacked(*tables: DataFrame) -> DataFrame:
 
 
 def to_column(df: DataFrame, order: Sequence, ignore: int = 0, by_column: bool = False) -> DataFrame:
-    """TOCOL: all cells as (_row, _col, value) texts, with _at, their place; ignore 1 or 3 leaves blanks out."""
+    """TOCOL: all cells as (_row, _col, value) texts, with _at, their place; ignore 1 or 3 leaves blanks out, 2 or 3 errors."""
     n = numbered(df, *order)
     cells = F.array(*[F.struct(F.lit(i).alias("_col"), as_text(F.col(c)).alias("value")) for i, c in enumerate(df.columns, 1)])
     out = n.select("_row", F.explode(cells).alias("x")).select("_row", "x.*")
     if ignore in (1, 3):
         out = out.filter("value is not null")
+    if ignore in (2, 3):
+        out = out.filter(~F.coalesce(F.col("value").isin(*ERRORS), F.lit(False)))
     return numbered(out, *(("_col", "_row") if by_column else ("_row", "_col")), name="_at")
 
 
@@ -215,6 +233,32 @@ def wrapped_rows(df: DataFrame, value: str, order: Sequence, width: int, pad: st
     return out.select(F.col("_r").alias("_row"), *[F.when(F.col(f"_s{i}").isNull(), pad).otherwise(F.col(f"_s{i}.v")).alias(f"c{i + 1}") for i in range(width)])
 
 
+def wrapped_columns(df: DataFrame, value: str, order: Sequence, height: int, pad: str = NA, widest: int = 16_384) -> DataFrame:
+    """WRAPCOLS: a column cut into columns c1 ... of ``height`` rows, with _row. More than ``widest`` columns, a sheet's width, are #NUM!."""
+    n = numbered(df.select(value, *[c for c in order if isinstance(c, str) and c != value]), *order)
+    width = -(-n.count() // height)
+    if width > widest:
+        raise Calc("#NUM!")
+    at = F.col("_row") - 1
+    column = F.floor(at / height)
+    out = n.groupBy((at % height + 1).alias("_r")).agg(*[F.max(F.when(column == i, F.struct(as_text(F.col(value)).alias("v")))).alias(f"_s{i}") for i in range(width)])
+    return out.select(F.col("_r").alias("_row"), *[F.when(F.col(f"_s{i}").isNull(), pad).otherwise(F.col(f"_s{i}.v")).alias(f"c{i + 1}") for i in range(width)])
+
+
+def to_row(df: DataFrame, order: Sequence, ignore: int = 0, by_column: bool = False, widest: int = 16_384) -> DataFrame:
+    """TOROW: all cells as texts in one row c1 ...; more than ``widest``, a sheet's width, are #NUM!."""
+    cells = to_column(df, order, ignore, by_column)
+    n = cells.count()
+    if n > widest:
+        raise Calc("#NUM!")
+    return cells.groupBy().agg(*[F.max(F.when(F.col("_at") == i, F.col("value"))).alias(f"c{i}") for i in range(1, n + 1)])
+
+
+def shape(df: DataFrame) -> tuple[int, int]:
+    """ROWS and COLUMNS of a table."""
+    return df.count(), len(df.columns)
+
+
 def transposed(df: DataFrame, key: str) -> DataFrame:
     """TRANSPOSE of a table whose key becomes the header: as many columns as it had rows."""
     return df.transpose(F.col(key))

@@ -52,7 +52,7 @@ MET = "((lower(p_brand) LIKE 'brand#1%' AND p_size > 40) OR (lower(p_type) = 'pr
 for _name, _sql in {"DSUM": "sum(p_retailprice)", "DAVERAGE": "avg(p_retailprice)", "DMAX": "max(p_retailprice)", "DMIN": "min(p_retailprice)", "DSTDEV": "stddev_samp(p_retailprice)", "DSTDEVP": "stddev_pop(p_retailprice)", "DVAR": "var_samp(p_retailprice)", "DVARP": "var_pop(p_retailprice)", "DCOUNT": "count(p_retailprice)", "DCOUNTA": "count(p_retailprice)"}.items():
     query(f"SELECT {rsql(f'coalesce({_sql}, 0)', 4)} AS value FROM part WHERE {MET}", _name.lower())(lambda t, n=_name: grouping.database(n, t("part"), "P_RetailPrice", CRITERIA).select(r(F.coalesce(c("value"), F.lit(0.0)), 4).alias("value")))
 query("SELECT n_name AS value FROM nation WHERE n_nationkey = 7", "dget")(lambda t: grouping.database("DGET", t("nation"), "n_name", [{"n_nationkey": 7}]).select("value"))
-query(f"SELECT {rsql('product(p_size / 10.0)', 4)} AS value FROM part WHERE p_partkey < 12", "dproduct")(lambda t: grouping.database("DPRODUCT", t("part").withColumn("x", c("p_size") / 10), "x", [{"p_partkey": "<12"}]).select(r(c("value"), 4).alias("value")))
+query(f"SELECT {rsql('product(1 + p_size / 1e6)', 4)} AS value FROM part WHERE lower(p_type) = 'promo'", "dproduct")(lambda t: grouping.database("DPRODUCT", t("part").withColumn("x", 1 + c("p_size") / 1e6), "x", [{"p_type": "promo"}]).select(r(c("value"), 4).alias("value")))
 
 
 # ---- lookups ---------------------------------------------------------------------------------
@@ -102,6 +102,26 @@ def xlookup_wildcard(t):
     return lookup.wild(parts, "pattern", t("nation"), "n_name", {"nation": "n_nationkey"}, ["n_nationkey"]).select("p_partkey", "nation")
 
 
+@query("SELECT p_partkey, n_name FROM (SELECT p_partkey, substr('bdfjmpsz', 1 + (p_partkey % 8)::int, 1) AS k FROM part) ASOF LEFT JOIN (SELECT lower(n_name) AS n, n_name FROM nation) ON k >= n")
+def xlookup_text(t):
+    parts = t("part").select("p_partkey", F.upper(F.substring(F.lit("bdfjmpsz"), (c("p_partkey") % 8 + 1).cast("int"), F.lit(1))).alias("k"))
+    return lookup.nearest(parts, "k", t("nation"), "n_name", {"n_name": "n_name"}, ["n_nationkey"], "next_smaller").select("p_partkey", "n_name")
+
+
+@query("SELECT o_orderkey, day::varchar AS day FROM orders ASOF LEFT JOIN (SELECT o_orderdate AS day FROM orders WHERE o_orderkey % 50 = 0) ON o_orderdate <= day")
+def xlookup_date(t):
+    some = t("orders").filter("o_orderkey % 50 = 0").select(c("o_orderdate").alias("day"), "o_orderkey")
+    out = lookup.nearest(t("orders").select("o_orderkey", "o_orderdate"), "o_orderdate", some, "day", {"day": "day"}, ["day"], "next_larger")
+    return out.select("o_orderkey", F.date_format("day", "yyyy-MM-dd HH:mm:ss").alias("day"))
+
+
+query("SELECT c_custkey FROM customer SEMI JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON c_custkey = o_custkey", "lookup_semi")(lambda t: lookup.existing(t("customer"), "c_custkey", t("orders").filter("o_orderstatus = 'F'"), "o_custkey").select("c_custkey"))
+query("SELECT c_custkey FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON c_custkey = o_custkey", "lookup_anti")(lambda t: lookup.existing(t("customer"), "c_custkey", t("orders").filter("o_orderstatus = 'F'"), "o_custkey", missing=True).select("c_custkey"))
+query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN n_name WHEN 1 THEN n_regionkey::varchar END AS found FROM part, (SELECT * FROM nation ORDER BY n_nationkey LIMIT 1 OFFSET 4)", "hlookup")(lambda t: lookup.horizontal(t("part").select("p_partkey", F.element_at(F.array(F.lit("N_NAME"), F.lit("n_regionKEY"), F.lit("none")), (c("p_partkey") % 3 + 1).cast("int")).alias("head")), "head", t("nation"), 5, "found", "n_nationkey").select("p_partkey", "found"))
+query("SELECT i % 6 + 1 AS _row, " + ", ".join(f"coalesce(max(n_name) FILTER (WHERE i // 6 = {j}), '#N/A') AS c{j + 1}" for j in range(5)) + " FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation) GROUP BY 1", "wrapcols")(lambda t: rows.wrapped_columns(t("nation"), "n_name", ["n_nationkey"], 6))
+query("SELECT " + ", ".join(f"max(r_{'regionkey::varchar' if k % 2 == 0 else 'name'}) FILTER (WHERE i = {k // 2}) AS c{k + 1}" for k in range(10)) + " FROM (SELECT *, row_number() OVER (ORDER BY r_regionkey) - 1 AS i FROM region)", "torow")(lambda t: rows.to_row(t("region"), ["r_regionkey"]))
+
+
 # ---- arrays ----------------------------------------------------------------------------------
 ORDER = "ORDER BY o_totalprice DESC, o_orderkey"
 query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000", "filter_rows")(lambda t: rows.filtered(t("orders"), (c("o_orderstatus") == "F") & (c("o_totalprice") > 100000)).select("o_orderkey"))
@@ -141,11 +161,14 @@ def irr_by_customer(t):
     return flows.groupBy("o_custkey").agg(agg.IRR(flow, c("month")).alias("x")).select("o_custkey", r(c("x")).alias("irr"))
 
 
-@query("SELECT a.vec_id AS i, b.vec_id AS j, floor(list_dot_product(a.embedding::double[], b.embedding::double[]) * 1e4 + 0.5) / 1e4 AS v FROM embeddings a, embeddings b WHERE b.vec_id < 5")
+CELLS = "(SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS k, unnest(embedding)::double AS v FROM embeddings)"
+
+
+@query(f"SELECT a.k AS i, b.k AS j, floor(sum(a.v * b.v) * 1e4 + 0.5) / 1e4 AS v FROM {CELLS} a JOIN {CELLS} b USING (vec_id) GROUP BY ALL")
 def mmult_dot(t):
+    """The product of all vectors, transposed, with themselves."""
     cells = t("embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v")).select("vec_id", "k", c("v").cast("double").alias("v"))
-    few = cells.filter("vec_id < 5")  # the right factor: the first five columns
-    out = grouping.mmult(cells.withColumnRenamed("vec_id", "i"), few.withColumnRenamed("vec_id", "j"))
+    out = grouping.mmult(cells.select(c("k").alias("i"), c("vec_id").alias("k"), "v"), cells.select(c("vec_id").alias("k"), c("k").alias("j"), "v"))
     return out.select("i", "j", r(c("v"), 4).alias("v"))
 
 
