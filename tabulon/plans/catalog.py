@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabulon.functions import agg, fn
 from tabulon.operators import grouping, lookup, rows
 
-from .registry import query, r, rsql
+from .registry import query, r, rsql, spread
 
 c = F.col
 
@@ -191,7 +191,7 @@ def bonds(t):
     d = c("o_orderdate")
     due = F.lit("2010-11-15").cast("date")
     cells = {"price": fn.PRICE(d, due, 0.0575, 0.065, 100, 2), "yld": fn.YIELD(d, due, 0.0575, 95, 100, 2), "duration": fn.DURATION(d, due, 0.08, 0.09, 2, 1), "coupons": fn.COUPNUM(d, due, 2), "before": fn.COUPDAYBS(d, due, 2, 1)}
-    return t("orders").select("o_orderkey", *[r(x).alias(n) for n, x in cells.items()])
+    return spread(t("orders")).select("o_orderkey", *[r(x).alias(n) for n, x in cells.items()])
 
 
 @query()

@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, if its files make fewer: for computing that outweighs a shuffle of a
+    small table. A table of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def query(sql: str | None = None, name: str | None = None):
     """Registers f(t), where t(name) reads a table, under its own name."""
 
@@ -48,7 +55,7 @@ def scalars(name: str, source: str, key: list[str], items: dict) -> None:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         cells = {n: (kind, resolve(x)) for n, (kind, x, _) in parsed.items()}
         made = [(r(x) if kind == "n" else x.shown() if isinstance(x, Cell) else x).alias(n) for n, (kind, x) in cells.items()]
-        return table(spark, sf_dir, source).select(*key, *made)
+        return spread(table(spark, sf_dir, source)).select(*key, *made)
 
     parsed = {}
     for n, (c, sql) in items.items():
