@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, joinable, unused
@@ -147,11 +148,38 @@ def near_duplicates(docs: DataFrame, distance: int = 3, segments: int = 2, dense
 
 
 # ---- near copies by Jaccard similarity -------------------------------------------------------------
-#: A wide fingerprint: 64 bits, and SEGMENTS segments of WIDTH bits for the multi-index search.
-WIDTH, SEGMENTS = 24, 32
-_WORDS = WIDTH * SEGMENTS // 64
-BITS = 64 * (1 + _WORDS)
-_SALTS = (np.arange(1 + _WORDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+@dataclass(frozen=True)
+class Wide:
+    """A wide fingerprint: 64 bits, and ``segments`` segments of ``width`` bits for the multi-index search."""
+
+    width: int = 20
+    segments: int = 20
+
+    @property
+    def bits(self) -> int:
+        return 64 + self.width * self.segments
+
+    @classmethod
+    def of(cls, rows: int, similarity: float = 0.8, recall: float = 0.97) -> Wide:
+        """For a table of so many rows: segments so wide that few cells hold two unlike nodes, 20 bits at least, and so many that
+        two texts of ``similarity`` agree but for one bit in some segment with probability ``recall``."""
+        width = max(20, math.ceil(math.log2(max(rows, 1))) + 2)
+        p = share_differing(similarity)
+        met = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+        return cls(width, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+
+    def differing(self, similarity: float, deviations: float) -> int:
+        """In how many bits shingle sets of a Jaccard similarity differ, so many standard deviations from the mean."""
+        p = share_differing(similarity)
+        return round(self.bits * p + deviations * math.sqrt(self.bits * p * (1 - p)))
+
+
+def share_differing(similarity: float) -> float:
+    """The share of bits that differ: the angle between the sets' indicator vectors over pi, whose cosine is,
+    for sets of like size, 2 s / (1 + s)."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
 _SPACES = np.ones(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = False
 
@@ -165,32 +193,25 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
     return np.unique(gram_hashes(word_hashes(raw, starts, ends), min(size, len(starts))))
 
 
-def wide_fingerprint(grams: np.ndarray) -> tuple[int, list[int]]:
-    """(64 bits as a signed number, SEGMENTS numbers of WIDTH bits): each bit is set if it is in over half of the shingles' hashes."""
-    counts, n = np.zeros(BITS, np.int64), len(grams)
+def wide_fingerprint(grams: np.ndarray, shape: Wide = Wide()) -> tuple[int, list[int]]:
+    """(64 bits as a signed number, the numbers of the segments): each bit is set if it is in over half of the shingles' hashes."""
+    words = -(-shape.bits // 64)
+    salts = (np.arange(words, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    counts, n = np.zeros(64 * words, np.int64), len(grams)
     for at in range(0, n, 255):  # counts of 255 hashes fit a byte
-        mixed = mix(grams[at : at + 255, None] ^ _SALTS)
+        mixed = mix(grams[at : at + 255, None] ^ salts)
         counts += np.unpackbits(mixed.astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
     bits = 2 * counts > n
     first = int(np.packbits(bits[:64]).view(">u8")[0])
-    return _signed(first), (bits[64:].reshape(SEGMENTS, WIDTH) @ (1 << np.arange(WIDTH)[::-1])).tolist()
-
+    return _signed(first), (bits[64 : shape.bits].reshape(shape.segments, shape.width) @ (1 << np.arange(shape.width)[::-1])).tolist()
 
-def differing(similarity: float, deviations: float) -> int:
-    """Bits of BITS in which shingle sets of a Jaccard similarity differ, so many standard deviations from the mean.
-
-    Bits differ with the angle between the sets' indicator vectors over pi, whose cosine is, for sets of like size, 2 s / (1 + s).
-    """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(BITS * p + deviations * math.sqrt(BITS * p * (1 - p)))
 
-
-def _wide(docs: DataFrame, size: int) -> DataFrame:
+def _wide(docs: DataFrame, size: int, shape: Wide) -> DataFrame:
     """``docs`` (key, id, text) as (key, id, fp, wide)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [wide_fingerprint(shingles(t.as_py(), size)) for t in b.column("text")]
+            found = [wide_fingerprint(shingles(t.as_py(), size), shape) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array([f for f, _ in found], pa.int64()), pa.array([w for _, w in found], pa.list_(pa.int32()))], ["key", "id", "fp", "wide"])
 
     types = dict(docs.dtypes)
@@ -208,31 +229,36 @@ def _grams(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(scan, "fp long, grams array<long>")
 
 
-def _cells(nodes: DataFrame) -> DataFrame:
+def _cells(nodes: DataFrame, shape: Wide) -> DataFrame:
     """(k, x, fp) of each segment of ``nodes`` (fp, wide): k numbers segment and value, x is the value."""
-    return nodes.select("fp", F.posexplode("wide").alias("s", "x")).select((F.col("s").cast("long") * (1 << WIDTH) + F.col("x")).alias("k"), "x", "fp")
+    return nodes.select("fp", F.posexplode("wide").alias("s", "x")).select((F.col("s").cast("long") * (1 << shape.width) + F.col("x")).alias("k"), "x", "fp")
 
 
-def _shared(nodes: DataFrame) -> DataFrame:
+def _shared(nodes: DataFrame, shape: Wide) -> DataFrame:
     """(k, fp, n) of the cells that n > 1 ``nodes`` (fp, wide) are in."""
-    cells = _cells(nodes).select("k", "fp")
+    cells = _cells(nodes, shape).select("k", "fp")
     return durable(cells.join(joinable(cells.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1"), 1_000_000), "k"))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
+def _apart(fp: str, wide: str, other: str, other_wide: str) -> Column:
+    """In how many bits two wide fingerprints differ."""
+    return F.aggregate(F.zip_with(wide, other_wide, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d) + F.bit_count(F.col(fp).bitwiseXOR(F.col(other)))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shape: Wide, similarity: float, size: int) -> DataFrame:
     """Of the pairs (u, v) of ``nodes``, links (u, v) that join all of them that are of at least ``similarity``.
 
     Pairs that differ in so few bits that only a similarity well above the limit explains it are links; of
     those in doubt only the ones that would join different components are verified by the Jaccard similarity of their shingles.
     """
     mine = nodes.select(F.col("fp").alias("u"), F.col("wide").alias("a"))
-    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d) + F.bit_count(F.expr("u ^ v"))
+    apart = _apart("u", "a", "v", "b")
     met = pairs.join(mine, "u").join(mine.select(F.col("u").alias("v"), F.col("a").alias("b")), "v").select("u", "v", apart.alias("distance"))
-    met = durable(met.filter(F.col("distance") <= differing(similarity, 4)))
-    sure = met.filter(F.col("distance") <= differing(similarity, -4)).select("u", "v")
+    met = durable(met.filter(F.col("distance") <= shape.differing(similarity, 3)))
+    sure = met.filter(F.col("distance") <= shape.differing(similarity, -3)).select("u", "v")
     label = durable(connected_components(sure))
     named = lambda end: label.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
-    doubtful = met.filter(F.col("distance") > differing(similarity, -4)).join(named("u"), "u", "left").join(named("v"), "v", "left")
+    doubtful = met.filter(F.col("distance") > shape.differing(similarity, -3)).join(named("u"), "u", "left").join(named("v"), "v", "left")
     doubtful = durable(doubtful.filter(F.coalesce("label_u", "u") != F.coalesce("label_v", "v")).select("u", "v"))
     if doubtful.isEmpty():
         return sure
@@ -250,44 +276,43 @@ def central_pairs(shared: DataFrame) -> DataFrame:
     return shared.join(centre, "k").filter("fp <> centre").select(F.least("fp", "centre").alias("u"), F.greatest("fp", "centre").alias("v")).distinct()
 
 
-def crossing_pairs(nodes: DataFrame, shared: DataFrame, labels: DataFrame, similarity: float = 0.8) -> DataFrame:
+def crossing_pairs(nodes: DataFrame, shared: DataFrame, labels: DataFrame, shape: Wide, similarity: float = 0.8) -> DataFrame:
     """Pairs (u, v) of ``nodes`` (fp, wide) of different ``labels`` (node, label) that a multi-index search finds near each other.
 
-    Each node is put into one table per segment and probes it with the ball of radius 1 around
-    its own segment; two nodes agree that far in one of them with probability 0.97 at
-    similarity 0.8, 0.997 at 0.85. A probe that meets a single node is verified by its 64 bits at once;
-    one of a cell of several meets only its members with other labels, so what is linked already costs nothing more.
-    Nodes without a label are their own; ``shared`` is what ``_shared`` gives of them.
+    Each node is put into one table per segment and probes it with the ball of radius 1 around its own
+    segment. A probe that meets a single node is verified by its 64 bits at once; one of a
+    cell of several meets only its members with other labels, so what is linked already costs nothing more.
+    What is fetched is verified by all bits. Nodes without a label are their own; ``shared`` is what ``_shared`` gives of them.
     """
-    p = differing(similarity, 4) / BITS
-    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= round(64 * p + 4 * math.sqrt(64 * p * (1 - p)))
-    cells = _cells(nodes)
+    p = share_differing(similarity)
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("first"))) <= round(64 * p + 4 * math.sqrt(64 * p * (1 - p)))
+    cells = _cells(nodes, shape)
     table = cells.select("k", "fp")
     # A bit is only ever added, so that two nodes that differ in one meet from one side; equal segments are in ``shared``.
-    flips = F.filter(F.array(*[F.lit(1 << i) for i in range(WIDTH)]), lambda m: F.col("x").bitwiseAND(m) == 0)
+    flips = F.filter(F.array(*[F.lit(1 << i) for i in range(shape.width)]), lambda m: F.col("x").bitwiseAND(m) == 0)
     probes = cells.select("fp", "k", F.explode(flips).alias("m")).select((F.col("k") + F.col("m")).alias("k"), "fp")
     inside = table.groupBy("k").agg(F.min("fp").alias("first"), F.count("*").alias("n"))
-    hits = durable(probes.join(inside, "k").filter((F.col("n") > 1) | near(F.col("fp"), F.col("first"))).select("k", "fp"))
+    hits = durable(probes.join(inside, "k").filter((F.col("n") > 1) | near).select("k", "fp"))
     labels = joinable(labels.select(F.col("node").alias("fp"), "label"), 1_000_000)
-    named = lambda rows: rows.join(labels, "fp", "left").select("k", "fp", F.coalesce("label", "fp").alias("label"))
-    mine = durable(named(hits.union(shared.select("k", "fp"))))
-    theirs = durable(named(table.join(joinable(mine.select("k").distinct(), 1_000_000), "k"))).withColumnRenamed("fp", "other").withColumnRenamed("label", "theirs")
+    named = lambda rows: durable(rows.join(labels, "fp", "left").select("k", "fp", F.coalesce("label", "fp").alias("label")).join(nodes.select("fp", "wide"), "fp"))
+    mine = named(hits.union(shared.select("k", "fp")))
+    theirs = named(table.join(joinable(mine.select("k").distinct(), 1_000_000), "k")).toDF("other", "k", "theirs", "b")
     ways = mine.select("k", "label").distinct().join(theirs.select("k", "theirs").distinct(), "k").filter("label <> theirs")
-    found = mine.join(ways, ["k", "label"]).join(theirs, ["k", "theirs"]).filter(near(F.col("fp"), F.col("other")))
+    found = mine.join(ways, ["k", "label"]).join(theirs, ["k", "theirs"]).filter(_apart("fp", "wide", "other", "b") <= shape.differing(similarity, 3))
     return found.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
 
 
-def similar_components(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
+def similar_components(nodes: DataFrame, texts: DataFrame, shape: Wide, similarity: float = 0.8, size: int = 5) -> DataFrame:
     """(node, label) of the ``nodes`` (fp, wide) with others of at least ``similarity``: label is the least that links reach.
 
     First each node meets the central ones of its cells only, which joins most of a large group by as many rows
     as it has members; then nodes of different components meet by the full search. ``texts`` (fp, text) holds
     the nodes' texts.
     """
-    shared = _shared(nodes)
-    central = _verified(central_pairs(shared), nodes, texts, similarity, size)
+    shared = _shared(nodes, shape)
+    central = _verified(central_pairs(shared), nodes, texts, shape, similarity, size)
     labels = durable(connected_components(central))
-    return connected_components(central.union(_verified(crossing_pairs(nodes, shared, labels, similarity), nodes, texts, similarity, size)))
+    return connected_components(central.union(_verified(crossing_pairs(nodes, shared, labels, shape, similarity), nodes, texts, shape, similarity, size)))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, size: int = 5) -> DataFrame:
@@ -304,7 +329,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
     text hashes go to all tasks while they are at most a million, and are joined by a shuffle beyond.
     """
     slim = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("id"), F.col(text).alias("text")).filter("key is not null")
-    rows = durable(_wide(slim, size).groupBy("key", "id").agg(F.count("*").alias("n"), F.min("fp").alias("fp"), F.min("wide").alias("wide")))
+    shape = Wide.of(docs.count(), similarity)
+    rows = durable(_wide(slim, size, shape).groupBy("key", "id").agg(F.count("*").alias("n"), F.min("fp").alias("fp"), F.min("wide").alias("wide")))
     nodes = durable(rows.groupBy("fp").agg(F.min(F.struct("key", "id")).alias("least"), F.min("wide").alias("wide")))
 
     def survivors(of: DataFrame, label: DataFrame) -> DataFrame:
@@ -314,7 +340,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
 
     nodes = survivors(nodes, connected_components(links(nodes.select("fp"))))
     ids = joinable(nodes.select("least.key", "least.id", "fp"), 1_000_000)
-    nodes = survivors(nodes, similar_components(nodes, slim.join(ids, ["key", "id"]).select("fp", "text"), similarity, size))
+    nodes = survivors(nodes, similar_components(nodes, slim.join(ids, ["key", "id"]).select("fp", "text"), shape, similarity, size))
     kept = nodes.select("least.key", "least.id").withColumn("kept", F.lit(True))
     judged = durable(rows.select("key", "id", "n").join(kept, ["key", "id"], "left").filter("kept is null or n > 1"))
 

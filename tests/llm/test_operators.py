@@ -132,7 +132,7 @@ def test_differing_bits_estimate_similarity():
         s = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         (fa, wa), (fb, wb) = simhash.wide_fingerprint(a), simhash.wide_fingerprint(b)
         apart = bin((fa ^ fb) & (2**64 - 1)).count("1") + sum(bin(x ^ y).count("1") for x, y in zip(wa, wb))
-        assert simhash.differing(s, -4) <= apart <= simhash.differing(s, 4)
+        assert simhash.Wide().differing(s, -4) <= apart <= simhash.Wide().differing(s, 4)
 
 
 @pytest.mark.parametrize("dense", [2, 2048])
