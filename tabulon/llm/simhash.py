@@ -152,8 +152,8 @@ def near_duplicates(docs: DataFrame, distance: int = 3, segments: int = 2, dense
 class Wide:
     """A wide fingerprint: 64 bits, and ``segments`` segments of ``width`` bits for the multi-index search."""
 
-    width: int = 20
-    segments: int = 20
+    width: int = 24
+    segments: int = 32
 
     @property
     def bits(self) -> int:
@@ -161,9 +161,9 @@ class Wide:
 
     @classmethod
     def of(cls, rows: int, similarity: float = 0.8, recall: float = 0.97) -> Wide:
-        """For a table of so many rows: segments so wide that few cells hold two unlike nodes, 20 bits at least, and so many that
+        """For a table of so many rows: segments so wide that few cells hold two unlike nodes, 24 bits at least, and so many that
         two texts of ``similarity`` agree but for one bit in some segment with probability ``recall``."""
-        width = max(20, math.ceil(math.log2(max(rows, 1))) + 2)
+        width = max(24, math.ceil(math.log2(max(rows, 1))) + 2)
         p = share_differing(similarity)
         met = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
         return cls(width, math.ceil(math.log(1 - recall) / math.log(1 - met)))
@@ -281,8 +281,8 @@ def crossing_pairs(nodes: DataFrame, shared: DataFrame, labels: DataFrame, shape
 
     Each node is put into one table per segment and probes it with the ball of radius 1 around its own
     segment. A probe that meets a single node is verified by its 64 bits at once; one of a
-    cell of several meets only its members with other labels, so what is linked already costs nothing more.
-    What is fetched is verified by all bits. Nodes without a label are their own; ``shared`` is what ``_shared`` gives of them.
+    cell of several meets its members if they don't all bear its label, and the join gives only those with
+    other labels that all bits verify. Nodes without a label are their own; ``shared`` is what ``_shared`` gives of them.
     """
     p = share_differing(similarity)
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("first"))) <= round(64 * p + 4 * math.sqrt(64 * p * (1 - p)))
@@ -297,8 +297,10 @@ def crossing_pairs(nodes: DataFrame, shared: DataFrame, labels: DataFrame, shape
     named = lambda rows: durable(rows.join(labels, "fp", "left").select("k", "fp", F.coalesce("label", "fp").alias("label")).join(nodes.select("fp", "wide"), "fp"))
     mine = named(hits.union(shared.select("k", "fp")))
     theirs = named(table.join(joinable(mine.select("k").distinct(), 1_000_000), "k")).toDF("other", "k", "theirs", "b")
-    ways = mine.select("k", "label").distinct().join(theirs.select("k", "theirs").distinct(), "k").filter("label <> theirs")
-    found = mine.join(ways, ["k", "label"]).join(theirs, ["k", "theirs"]).filter(_apart("fp", "wide", "other", "b") <= shape.differing(similarity, 3))
+    both = mine.select("k", "label").union(theirs.select("k", "theirs")).groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    mixed = joinable(both.filter("low <> high").select("k"), 1_000_000)
+    other = (F.col("label") != F.col("theirs")) & (_apart("fp", "wide", "other", "b") <= shape.differing(similarity, 3))
+    found = mine.join(mixed, "k").join(theirs, "k").filter(other)
     return found.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
 
 
