@@ -294,13 +294,15 @@ def crossing_pairs(nodes: DataFrame, shared: DataFrame, labels: DataFrame, shape
     inside = table.groupBy("k").agg(F.min("fp").alias("first"), F.count("*").alias("n"))
     hits = durable(probes.join(inside, "k").filter((F.col("n") > 1) | near).select("k", "fp"))
     labels = joinable(labels.select(F.col("node").alias("fp"), "label"), 1_000_000)
-    named = lambda rows: durable(rows.join(labels, "fp", "left").select("k", "fp", F.coalesce("label", "fp").alias("label")).join(nodes.select("fp", "wide"), "fp"))
+    named = lambda rows: durable(rows.join(labels, "fp", "left").select("k", "fp", F.coalesce("label", "fp").alias("label")))
     mine = named(hits.union(shared.select("k", "fp")))
-    theirs = named(table.join(joinable(mine.select("k").distinct(), 1_000_000), "k")).toDF("other", "k", "theirs", "b")
-    both = mine.select("k", "label").union(theirs.select("k", "theirs")).groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    theirs = named(table.join(joinable(mine.select("k").distinct(), 1_000_000), "k"))
+    both = mine.select("k", "label").union(theirs.select("k", "label")).groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     mixed = joinable(both.filter("low <> high").select("k"), 1_000_000)
+    # Only the rows of cells with several labels take their bits along.
+    whole = lambda rows: rows.join(mixed, "k").join(nodes.select("fp", "wide"), "fp").select("k", "fp", "label", "wide")
     other = (F.col("label") != F.col("theirs")) & (_apart("fp", "wide", "other", "b") <= shape.differing(similarity, 3))
-    found = mine.join(mixed, "k").join(theirs, "k").filter(other)
+    found = whole(mine).join(whole(theirs).toDF("k", "other", "theirs", "b"), "k").filter(other)
     return found.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
 
 
