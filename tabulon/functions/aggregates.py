@@ -2,8 +2,10 @@
 
 Columns are typed: blanks are nulls and are skipped, as are texts and logicals in a column
 that isn't numeric. Error cells go in as ``Cell``s, and any of them is the result. Everything
-here has a partial form, so groups are combined before the shuffle; MEDIAN and the
-percentiles keep a group's distinct values with their counts.
+here has a partial form, so groups are combined before the shuffle, and MEDIAN and the inclusive
+percentiles keep a group's distinct values with their counts. The exceptions gather a group's values in
+one array: AVEDEV, MODE, TRIMMEAN, LARGE, SMALL, the exclusive percentiles, NPV, IRR, XIRR and MIRR. For groups
+beyond a task's memory use ``operators.grouping.order_statistics`` and ``present_values``.
 """
 
 from __future__ import annotations
@@ -376,8 +378,12 @@ def _at(f, r, power_shift=0.0):
 
 @aggregate("XNPV")
 def xnpv(rate, x, date) -> Cell:
-    flows, error = dated(x, date)
-    return guarded(let(flows, lambda f: F.aggregate(f, F.lit(0.0), _at(f, F.lit(float(rate))))), error)
+    """Discounted to a fixed day and moved from there to the first one, so that it has a partial form."""
+    v, error = numbers(x)
+    years = lambda d: F.datediff(d, F.lit("2000-01-01").cast("date")) / 365.0
+    first = F.min(F.when(v.isNotNull(), date))
+    out = F.sum(v * F.pow(F.lit(1.0 + rate), -years(date))) * F.pow(F.lit(1.0 + rate), years(first))
+    return guarded(F.coalesce(out, F.lit(0.0)), error)
 
 
 @aggregate("XIRR")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.aggregates import AGGREGATES, criterion
 from tabulon.functions.core import bad, guarded
 
+from .rows import prefixed, settled
+
 
 def group_by(df: DataFrame, keys: Sequence[str], values: dict[str, tuple[str, str]], totals: bool = False) -> DataFrame:
     """GROUPBY: ``values`` maps a new name to (function, column). With ``totals`` a row of all, keys blank."""
@@ -20,6 +22,83 @@ def group_by(df: DataFrame, keys: Sequence[str], values: dict[str, tuple[str, st
     return out
 
 
+def _with_groups(rows: DataFrame, by: Sequence[str], totals: list[Column], few: int = 100_000) -> DataFrame:
+    """``rows`` with their group's totals, which are broadcast if there are at most ``few`` groups."""
+    groups = settled(rows.groupBy(*by).agg(*totals))
+    named = groups.select(*[F.col(b).alias(f"_g{b}") for b in by], *[c for c in groups.columns if c not in by])
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_g{b}"))
+    small = groups.limit(few + 1).count() <= few
+    return rows.join(F.broadcast(named) if small else named, same, "left").drop(*[f"_g{b}" for b in by])
+
+
+def _at(index: Column) -> Column:
+    """The group's value at a place counted from 0 in ascending order; null outside the group."""
+    return F.max(F.when((F.col("_lo") <= index) & (index < F.col("_hi")), F.col("_v")))
+
+
+def _between(rank: Column) -> Column:
+    """The value at a fractional place, counted from 0."""
+    low = F.floor(rank)
+    here, total = _at(low), F.max("_total")
+    share = F.max(rank - low)
+    return F.when(F.max(rank).between(0, total - 1), here + share * (F.coalesce(_at(low + 1), here) - here))
+
+
+def _mean_within(cut: Column) -> Column:
+    kept = F.greatest(F.least(F.col("_hi"), F.col("_total") - cut) - F.greatest(F.col("_lo"), cut), F.lit(0))
+    return F.try_divide(F.sum(kept * F.col("_v")), F.sum(kept))
+
+
+def _statistic(name: str, *args) -> Column:
+    total, k = F.col("_total"), (float(args[0]) if args else 0.0)
+    if name in ("QUARTILE", "QUARTILE.INC", "QUARTILE.EXC"):
+        return _statistic("PERCENTILE.EXC" if name.endswith("EXC") else "PERCENTILE.INC", int(k) / 4)
+    return {
+        "LARGE": lambda: _at(total - int(k)),
+        "SMALL": lambda: _at(F.lit(int(k) - 1)),
+        "MEDIAN": lambda: _between((total - 1) * 0.5),
+        "PERCENTILE": lambda: _between((total - 1) * k),
+        "PERCENTILE.INC": lambda: _between((total - 1) * k),
+        "PERCENTILE.EXC": lambda: _between((total + 1) * k - 1),
+        "TRIMMEAN": lambda: _mean_within(F.floor(total * k / 2)),
+        "MODE": lambda: F.when(F.max("_n") > 1, F.max_by("_v", F.struct("_n", -F.col("_v")))),
+        "AVEDEV": lambda: F.try_divide(F.sum(F.col("_n") * F.abs(F.col("_v") - F.col("_sum") / total)), F.max(total)),
+    }[name]()
+
+
+def order_statistics(df: DataFrame, by: Sequence[str], value: str, statistics: dict[str, tuple]) -> DataFrame:
+    """One row per group with LARGE, SMALL, MEDIAN, PERCENTILE (.INC, .EXC), QUARTILE (.INC, .EXC), TRIMMEAN, MODE and AVEDEV.
+
+    ``statistics`` maps a new name to (function, argument); a result is blank where the worksheet has an error. Blanks
+    and texts that are no numbers are skipped; a group without numbers has blanks only.
+
+    Equal values are counted together before the shuffle, the counts are range-partitioned by group and value,
+    and a value's place follows from the running count. No group is gathered, so one may hold most of the rows.
+    """
+    keys = [f"_b{i}" for i in range(len(by))]
+    taken = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.col(value).try_cast("double").alias("_v"))
+    counts = taken.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_n", F.when(F.col("_v").isNull(), 0).otherwise(F.col("_n")))
+    placed = prefixed(counts, [*keys, "_v"], {"_upto": F.col("_n")})
+    totals = [F.min(F.col("_upto") - F.col("_n")).alias("_start"), F.sum("_n").alias("_total"), F.sum(F.col("_n") * F.col("_v")).alias("_sum")]
+    placed = _with_groups(placed, keys, totals).withColumn("_hi", F.col("_upto") - F.col("_start")).withColumn("_lo", F.col("_hi") - F.col("_n"))
+    out = placed.groupBy(*keys).agg(*[_statistic(f.upper(), *args).alias(f"_s{i}") for i, (f, *args) in enumerate(statistics.values())])
+    return out.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], *[F.col(f"_s{i}").alias(n) for i, n in enumerate(statistics)])
+
+
+def present_values(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, rate: float) -> DataFrame:
+    """(by, npv): NPV of each group's numbers in their order. A flow's period is its place in the group, found by running counts, so no group is gathered."""
+    keys = [f"_b{i}" for i in range(len(by))]
+    flows = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.col(value).try_cast("double").alias("_v"))
+    placed = prefixed(flows, [*keys, *[f"_o{i}" for i in range(len(order))]], {"_upto": F.col("_v").isNotNull().cast("long")})
+    one = F.col("_v").isNotNull().cast("long")
+    placed = _with_groups(placed, keys, [F.min(F.col("_upto") - one).alias("_start")])
+    npv = F.coalesce(F.sum(F.col("_v") / F.pow(F.lit(1.0 + rate), F.col("_upto") - F.col("_start"))), F.lit(0.0))
+    return placed.groupBy(*keys).agg(npv.alias("npv")).select(*[F.col(k).alias(b) for b, k in zip(by, keys)], "npv")
+
+
 def pivot_by(df: DataFrame, rows: Sequence[str], column: str, function: str, value: str, headers: Sequence) -> DataFrame:
     """PIVOTBY: one column per header. Headers are given, so the plan has one aggregate and no scan to find them."""
     made = {h: AGGREGATES[function.upper()](F.when(F.col(column) == F.lit(h), F.col(value))).value for h in headers}

@@ -14,17 +14,17 @@ c = F.col
 
 @query("""SELECT c_nationkey, floor(avg(abs(c_acctbal - m)) * 1e4 + 0.5) / 1e4 AS avedev FROM (SELECT *, avg(c_acctbal) OVER (PARTITION BY c_nationkey) AS m FROM customer) GROUP BY c_nationkey""")
 def avedev_by_nation(t):
-    return t("customer").groupBy("c_nationkey").agg(agg.AVEDEV(c("c_acctbal")).alias("x")).select("c_nationkey", r(c("x"), 4).alias("avedev"))
+    return grouping.order_statistics(t("customer"), ["c_nationkey"], "c_acctbal", {"x": ("AVEDEV",)}).select("c_nationkey", r(c("x"), 4).alias("avedev"))
 
 
 @query("""SELECT c_nationkey, floor(avg(c_acctbal) * 1e4 + 0.5) / 1e4 AS trimmean FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) WHERE i > floor(n * 0.2 / 2) AND i <= n - floor(n * 0.2 / 2) GROUP BY c_nationkey""")
 def trimmean_by_nation(t):
-    return t("customer").groupBy("c_nationkey").agg(agg.TRIMMEAN(c("c_acctbal"), 0.2).alias("x")).select("c_nationkey", r(c("x"), 4).alias("trimmean"))
+    return grouping.order_statistics(t("customer"), ["c_nationkey"], "c_acctbal", {"x": ("TRIMMEAN", 0.2)}).select("c_nationkey", r(c("x"), 4).alias("trimmean"))
 
 
 @query("""SELECT l_suppkey, arg_max(l_quantity, n * 1000 - l_quantity) AS mode_ FROM (SELECT l_suppkey, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_suppkey HAVING max(n) > 1""")
 def mode_by_supplier(t):
-    return t("lineitem").groupBy("l_suppkey").agg(agg.MODE(c("l_quantity")).alias("mode_")).filter("mode_ is not null")
+    return grouping.order_statistics(t("lineitem"), ["l_suppkey"], "l_quantity", {"mode_": ("MODE",)}).filter("mode_ is not null")
 
 
 @query("SELECT l_returnflag, l_linestatus, floor(sum(l_extendedprice * (1 - l_discount)) * 100 + 0.5) / 100 AS revenue, count(*)::double AS n, floor(avg(l_quantity) * 1e6 + 0.5) / 1e6 AS avg_qty FROM lineitem GROUP BY ALL")
@@ -150,7 +150,22 @@ query("SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (ORDER BY
 
 @query("SELECT user_id, floor(sum(value / pow(1.1, i)) * 1e6 + 0.5) / 1e6 AS npv FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events) GROUP BY user_id")
 def npv_by_user(t):
-    return t("events").groupBy("user_id").agg(agg.NPV(0.1, c("value"), c("ts")).alias("x")).select("user_id", r(c("x")).alias("npv"))
+    return grouping.present_values(t("events"), ["user_id"], ["ts"], "value", 0.1).select("user_id", r(c("npv")).alias("npv"))
+
+
+#: The order statistics of each kind of line, with the SQL of each; ``s`` is the group's sorted list, ``n`` its length.
+STATISTICS = {
+    "large7": (("LARGE", 7), "s[n - 6]"), "small9": (("SMALL", 9), "s[9]"), "median_": (("MEDIAN",), "list_median(s)"), "inc30": (("PERCENTILE.INC", 0.3), "quantile_cont(l_extendedprice, 0.3)"),
+    "exc90": (("PERCENTILE.EXC", 0.9), "s[floor(0.9 * (n + 1))::bigint] + (0.9 * (n + 1) - floor(0.9 * (n + 1))) * (s[floor(0.9 * (n + 1))::bigint + 1] - s[floor(0.9 * (n + 1))::bigint])"),
+    "quartile_exc": (("QUARTILE.EXC", 1), "s[floor(0.25 * (n + 1))::bigint] + (0.25 * (n + 1) - floor(0.25 * (n + 1))) * (s[floor(0.25 * (n + 1))::bigint + 1] - s[floor(0.25 * (n + 1))::bigint])"),
+    "trimmed": (("TRIMMEAN", 0.1), "list_avg(s[floor(n * 0.05)::bigint + 1 : n - floor(n * 0.05)::bigint])"), "avedev": (("AVEDEV",), "list_avg(list_transform(s, lambda x: abs(x - list_avg(s))))"),
+}
+
+
+@query(f"""SELECT l_returnflag, l_linestatus, {', '.join(f"{rsql(x.replace('quantile_cont(l_extendedprice, 0.3)', 'q'), 2)} AS {k}" for k, (_, x) in STATISTICS.items())} FROM (SELECT l_returnflag, l_linestatus, list_sort(list(l_extendedprice)) AS s, count(*) AS n, quantile_cont(l_extendedprice, 0.3) AS q FROM lineitem GROUP BY ALL)""")
+def order_statistics(t):
+    out = grouping.order_statistics(t("lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", {k: f for k, (f, _) in STATISTICS.items()})
+    return out.select("l_returnflag", "l_linestatus", *[r(c(k), 2).alias(k) for k in STATISTICS])
 
 
 @query()
