@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabulon.functions import agg, fn
-from tabulon.operators import grouping, lookup, rows
+from tabulon.operators import forecast, grouping, lookup, rows
 
 from .registry import query, r, rsql, spread
 
@@ -228,3 +228,34 @@ def daily_events(t):
 
 query("SELECT max(l_quantity) AS l_quantity, max(l_discount) AS l_discount FROM lineitem", "bycol")(lambda t: grouping.by_column(t("lineitem").select("l_quantity", "l_discount"), "MAX"))
 query("SELECT l_quantity, n FROM (SELECT l_quantity, count(*) AS n FROM lineitem GROUP BY 1) WHERE n > 1 QUALIFY n = max(n) OVER ()", "mode_mult")(lambda t: grouping.modes(t("lineitem"), "l_quantity"))
+
+
+# ---- forecasts -------------------------------------------------------------------------------
+FITTED = ("forecast", "confint", "mase", "smape", "mae", "rmse")
+
+
+def _seasonal(name: str, seasonality: int) -> None:
+    """Monthly turnover per priority, forecast for December 2001; gaps are filled halfway to the next month known."""
+    tried = "range(1, 25) t(p) WHERE p <= n // 2" if seasonality == 1 else f"(SELECT {seasonality} AS p)"
+    fit = "(a + b * (i + 1))"
+    sql = f"""WITH m AS (SELECT o_orderpriority AS g, year(o_orderdate) * 12 + month(o_orderdate) AS m, sum(o_totalprice) / 1e6 AS y FROM orders GROUP BY ALL),
+    ahead AS (SELECT *, lead(m) OVER w AS nm, lead(y) OVER w AS ny, min(m) OVER (PARTITION BY g) AS f FROM m WINDOW w AS (PARTITION BY g ORDER BY m)),
+    s AS (SELECT g, f, m - f + j AS i, CASE WHEN j = 0 THEN y ELSE ny + (y - ny) / pow(2, j) END AS y FROM (SELECT *, unnest(range(0, coalesce(nm - m, 1))) AS j FROM ahead)),
+    n AS (SELECT g, count(*) AS n, any_value(f) AS f FROM s GROUP BY g),
+    lines AS (SELECT g, p, i % p AS k, regr_slope(y, i + 1) AS b, regr_intercept(y, i + 1) AS a FROM s JOIN n USING (g), {tried} GROUP BY ALL),
+    e AS (SELECT s.g, p, sqrt(avg(pow(y - {fit}, 2))) AS rmse, avg(abs(y - {fit})) AS mae, avg(200 * abs(y - {fit}) / (abs(y) + abs({fit}))) AS smape FROM s JOIN lines ON s.g = lines.g AND i % p = k GROUP BY ALL),
+    best AS (SELECT g, arg_min(p, rmse) AS p, min(rmse) AS rmse, arg_min(mae, rmse) AS mae, arg_min(smape, rmse) AS smape FROM e GROUP BY g),
+    d AS (SELECT v.g, avg(abs(u.y - v.y)) AS scale FROM s v JOIN best USING (g) JOIN s u ON u.g = v.g AND u.i = v.i + p GROUP BY v.g)
+    SELECT g AS o_orderpriority, p::double AS seasonality, {rsql('a + b * (24024 - f + 1)', 4)} AS forecast, {rsql('1.959963984540054 * rmse * sqrt(1 + (24024 - f - n + 1) / n)', 4)} AS confint,
+    {rsql('mae / scale', 4)} AS mase, {rsql('smape', 4)} AS smape, {rsql('mae', 4)} AS mae, {rsql('rmse', 4)} AS rmse
+    FROM best JOIN n USING (g) JOIN d USING (g) JOIN lines USING (g, p) WHERE k = (24024 - f) % p"""
+
+    @query(sql, name)
+    def run(t):
+        months = t("orders").select("o_orderpriority", (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("month"), (c("o_totalprice") / 1e6).alias("turnover"))
+        out = forecast.forecast_ets(months, ["o_orderpriority"], "month", "turnover", 2001 * 12 + 12, seasonality, aggregation=7)
+        return out.select("o_orderpriority", "seasonality", *[r(c(n), 4).alias(n) for n in FITTED])
+
+
+_seasonal("forecast_ets", 12)
+_seasonal("forecast_ets_seasonality", 1)
