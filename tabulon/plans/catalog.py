@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabulon.functions import agg, fn
-from tabulon.operators import forecast, grouping, lookup, rows
+from tabulon.operators import forecast, grouping, lookup, regression, rows
 
 from .registry import query, r, rsql, spread
 
@@ -259,3 +259,27 @@ def _seasonal(name: str, seasonality: int) -> None:
 
 _seasonal("forecast_ets", 12)
 _seasonal("forecast_ets_seasonality", 1)
+
+
+# ---- regression on several columns -------------------------------------------------------------
+def _two_columns(name: str, y: str, logarithmic: bool) -> None:
+    """Price by quantity and discount per flag, by Cramer's rule in SQL."""
+    wrap = "exp({})" if logarithmic else "({})"
+    b1, b2 = "(s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12)", "(s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12)"
+    q, d, p = "l_quantity", "l_discount", y
+    sql = f"""WITH m AS (SELECT l_returnflag, covar_pop({q}, {q}) AS s11, covar_pop({q}, {d}) AS s12, covar_pop({d}, {d}) AS s22, covar_pop({q}, {p}) AS s1y, covar_pop({d}, {p}) AS s2y, covar_pop({p}, {p}) AS syy,
+    avg({q}) AS m1, avg({d}) AS m2, avg({p}) AS my, count(*) AS n FROM lineitem GROUP BY ALL), b AS (SELECT *, {b1} AS b1, {b2} AS b2 FROM m)
+    SELECT l_returnflag, {rsql(wrap.format('b1'), 5)} AS quantity, {rsql(wrap.format('b2'), 5)} AS discount, {rsql(wrap.format('my - b1 * m1 - b2 * m2'), 5)} AS intercept, {rsql('(b1 * s1y + b2 * s2y) / syy')} AS r2,
+    {rsql('sqrt((syy - b1 * s1y - b2 * s2y) * n / (n - 3))', 5)} AS se_y, {rsql(wrap.format('my + b1 * (30 - m1) + b2 * (0.05 - m2)'), 5)} AS at_30 FROM b"""
+
+    @query(sql, name)
+    def run(t):
+        columns = ["l_quantity", "l_discount"]
+        fit = regression.linest(t("lineitem"), ["l_returnflag"], "l_extendedprice", columns, logarithmic=logarithmic)
+        at = regression.trend(t("lineitem"), ["l_returnflag"], "l_extendedprice", columns, [30, 0.05], logarithmic=logarithmic)
+        shown = [r(c("slopes")[0], 5).alias("quantity"), r(c("slopes")[1], 5).alias("discount"), r(c("intercept"), 5).alias("intercept"), r(c("r2")).alias("r2"), r(c("se_y"), 5).alias("se_y")]
+        return fit.select("l_returnflag", *shown).join(at.select("l_returnflag", r(c("value"), 5).alias("at_30")), "l_returnflag")
+
+
+_two_columns("linest_two_columns", "l_extendedprice", False)
+_two_columns("logest_two_columns", "ln(l_extendedprice)", True)
