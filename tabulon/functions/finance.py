@@ -196,7 +196,7 @@ def amorlinc(cost, bought, first, salvage, period, rate, basis):
     per = cost * rate
     before = F.when(p == 0, 0.0).otherwise(opening + (p - 1) * per)
     now = F.when(p == 0, opening).otherwise(per)
-    return finite(F.greatest(F.least(now, cost - salvage - before), F.lit(0.0)), ((cost < 0) | (rate <= 0) | (p < 0) | (bought > first), "#NUM!"))
+    return finite(F.greatest(F.least(now, cost - salvage - before), F.lit(0.0)), ((cost <= 0) | (salvage < 0) | (salvage >= cost) | (rate <= 0) | (p < 0) | (bought >= first) | (basis == 2), "#NUM!"))
 
 
 @function("AMORDEGRC", "n d d n n n n=0")
@@ -219,7 +219,7 @@ def amordegrc(cost, bought, first, salvage, period, rate, basis):
         return F.struct((a["book"] - got).alias("book"), rest.alias("rest"), got.alias("now"), (a["over"] | short).alias("over"))
 
     steps = F.when(p >= 1, F.sequence(F.lit(1), p.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return finite(F.aggregate(steps, start, step, lambda a: a["now"]), ((cost <= 0) | (rate <= 0) | (p < 0) | (bought > first) | (basis == 2), "#NUM!"))
+    return finite(F.aggregate(steps, start, step, lambda a: a["now"]), ((cost <= 0) | (salvage < 0) | (salvage >= cost) | (rate <= 0) | (p < 0) | (bought >= first) | (basis == 2), "#NUM!"))
 
 
 def _discounted(name: str, f, *wrong) -> None:

@@ -378,15 +378,16 @@ def encodeurl(s):
 
 
 #: Script ranges and the language each stands for.
-SCRIPTS = [(r"[가-힯]", "ko"), (r"[぀-ヿ]", "ja"), (r"[一-鿿]", "zh"), (r"[Ѐ-ӿ]", "ru"), (r"[؀-ۿ]", "ar"), (r"[֐-׿]", "he"), (r"[฀-๿]", "th"), (r"[ऀ-ॿ]", "hi"), (r"[Ͱ-Ͽ]", "el")]
+SCRIPTS = [(r"[가-힯]", "ko"), (r"[぀-ヿ]", "ja"), (r"[一-鿿]", "zh"), (r"[Ѐ-ӿ]", "ru"), (r"[؀-ۿ]", "ar"), (r"[A-Za-z]", "en")]
 
 
 @function("DETECTLANGUAGE", "t")
 def detectlanguage(s):
-    out = F.lit("en")
+    """The language of the first of SCRIPTS that has a letter in the text, else ``und``."""
+    out = F.lit("und")
     for pattern, lang in reversed(SCRIPTS):
         out = F.when(F.rlike(s, F.lit(pattern)), lang).otherwise(out)
-    return guarded(out, bad((F.trim(s) == "", "#VALUE!")))
+    return guarded(out, None)
 
 
 @function("TRANSLATE", "t t= t=")

@@ -323,3 +323,17 @@ def frequency(df: DataFrame, value: str, bins: Sequence[float]) -> DataFrame:
     counted = df.filter(F.col(value).isNotNull()).groupBy(place.alias("_bin")).agg(F.count("*").alias("n"))
     all_ = df.sparkSession.createDataFrame([(i, e) for i, e in enumerate([*edges, None])], "_bin int, bin double")
     return all_.join(counted, "_bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def dimensions(*areas: DataFrame) -> DataFrame:
+    """ROWS, COLUMNS and AREAS of tables: (area, rows, columns), one row for each in the order given; AREAS is the number of rows of the result."""
+    each = [a.agg(F.count("*").alias("rows")).select(F.lit(i).alias("area"), "rows", F.lit(len(a.columns)).cast("long").alias("columns")) for i, a in enumerate(areas, 1)]
+    return reduce(DataFrame.union, each)
+
+
+def addressed(df: DataFrame, order: Sequence, columns: Sequence[str], first: tuple[int, int] = (1, 1)) -> DataFrame:
+    """ROW and COLUMN of each cell: (row, column, value as text) of ``columns`` in the order of ``order``, from the cell ``first`` on."""
+    at = numbered(df, *order, name=name_for(df, "_row"))
+    row = at.columns[-1]
+    cells = F.array(*[F.struct(F.lit(i).cast("long").alias("column"), as_text(F.col(c)).alias("value")) for i, c in enumerate(columns, first[1])])
+    return at.select((F.col(row) + (first[0] - 1)).alias("row"), F.explode(cells).alias("c")).select("row", "c.column", "c.value")

@@ -283,3 +283,14 @@ def _two_columns(name: str, y: str, logarithmic: bool) -> None:
 
 _two_columns("linest_two_columns", "l_extendedprice", False)
 _two_columns("logest_two_columns", "ln(l_extendedprice)", True)
+
+
+# ---- places and shapes -------------------------------------------------------------------------
+@query("SELECT 1 AS area, count(*) AS rows, 5::bigint AS columns FROM customer UNION ALL SELECT 2, count(*), 3 FROM nation")
+def dimensions(t):
+    return rows.dimensions(t("customer"), t("nation"))
+
+
+@query("SELECT dense_rank() OVER (ORDER BY s_suppkey) + 1 AS row, k AS column, CASE k WHEN 3 THEN s_name ELSE s_nationkey::varchar END AS value FROM supplier, (SELECT unnest([3, 4]::bigint[]) AS k)")
+def addressed(t):
+    return rows.addressed(t("supplier"), ["s_suppkey"], ["s_name", "s_nationkey"], (2, 3))

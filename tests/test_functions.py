@@ -71,3 +71,14 @@ def test_number(spark, name):
 def test_text(spark, name):
     make, want = TEXTS[name]
     assert spark.range(1).select(make().shown().alias("v")).first().v == want
+
+
+def test_scripts_in_order_and_depreciation_errors(spark):
+    texts = {"가あ": "ko", "あ中": "ja", "中a": "zh", "да": "ru", "ab": "en", "12": "und", "": "und"}
+    made = [fn.DETECTLANGUAGE(t).shown().alias(f"t{i}") for i, t in enumerate(texts)]
+    day, later = D(2020, 1, 1), D(2020, 12, 31)
+    for f in (fn.AMORLINC, fn.AMORDEGRC):
+        wrong = [(0, day, later, 0, 1, 0.2, 0), (100, day, later, -1, 1, 0.2, 0), (100, day, later, 100, 1, 0.2, 0), (100, later, later, 0, 1, 0.2, 0), (100, day, later, 0, 1, 0.2, 2)]
+        made += [f(*args).shown().alias(f"e{len(made) + i}") for i, args in enumerate(wrong)]
+    got = list(spark.range(1).select(*made).first())
+    assert got[: len(texts)] == list(texts.values()) and set(got[len(texts) :]) == {"#NUM!"}
